@@ -16,15 +16,21 @@ def label_string(c: Column, separator: str = " ") -> Column:
     return F.array_join(c, separator)
 
 
-def lookup(mapping: Mapping[str, str] | DataFrame) -> Column:
-    """A map column from a dictionary, or from a small ``(src, dst)`` table as a scalar subquery.
+def lookup(mapping: Mapping[str, str]) -> Column:
+    """A map column from a dictionary."""
+    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+
 
-    For a table whose size is not known use :func:`paperweave.operators.joins.first_mapped`, which joins.
+def with_lookup(df: DataFrame, mapping: Mapping[str, str] | DataFrame, name: str = "_map") -> DataFrame:
+    """Adds a map column from a dictionary or from a ``(src, dst)`` table of the size of a vocabulary.
+
+    The table becomes one value, computed once, so the rows are mapped in place, without a join. For a table
+    of unknown size use :func:`paperweave.operators.joins.first_mapped`, which joins.
     """
-    if isinstance(mapping, DataFrame):
-        pairs = F.collect_set(F.struct("src", "dst"))
-        return mapping.agg(F.map_from_entries(F.array_sort(pairs)).alias("m")).scalar()
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    if not isinstance(mapping, DataFrame):
+        return df.withColumn(name, lookup(mapping))
+    pairs = F.array_sort(F.collect_set(F.struct("src", "dst")))
+    return df.withColumn(name, mapping.agg(F.map_from_entries(pairs)).scalar())
 
 
 def map_lenient(labels: Column, m: Column) -> Column:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 
 def _common(a: str, b: str) -> int:
@@ -77,14 +78,14 @@ def weighted_score(left: str, right: str) -> int:
     return int(round(max(found)))
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def _score_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(
         [None if x is None or y is None else score(x, y) for x, y in zip(a, b)], dtype="Int32"
     )
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def _weighted_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(
         [None if x is None or y is None else weighted_score(x, y) for x, y in zip(a, b)], dtype="Int32"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperweave.constants import PLACEHOLDER_LABEL
+from paperweave.constants import NO_LABEL, PLACEHOLDER_LABEL
 
 
 def label_distribution_multi(df: DataFrame, known: DataFrame | None = None, labels: str = "categories") -> DataFrame:
@@ -70,7 +72,19 @@ def labels_by_threshold(dist: DataFrame, threshold: int, most: int) -> DataFrame
     return above.withColumn("rank", rank).filter(F.col("rank") <= most + 1)
 
 
-def moved_counts(df: DataFrame, listed: list[str], labels: str = "categories") -> DataFrame:
-    """Rows that hold one listed label and nothing else, per label: what moves to the no-label class."""
-    alone = df.filter((F.size(labels) == 1) & F.get(F.col(labels), F.lit(0)).isin(listed))
-    return alone.groupBy(F.get(F.col(labels), F.lit(0)).alias("label")).agg(F.count(F.lit(1)).alias("moved_cnt"))
+def moved_counts(df: DataFrame, listed: Sequence[str], labels: str = "categories") -> DataFrame:
+    """``label, moved_cnt``: papers whose labels are all listed, at their last label in the listing.
+
+    Labels are taken away one after the other, and a paper moves to the no-label class with the last one.
+    """
+    names = F.array(*[F.lit(x) for x in listed])
+    held = F.filter(names, lambda x: F.array_contains(F.col(labels), x))
+    gone = df.filter((F.size(labels) > 0) & (F.size(F.array_except(F.col(labels), names)) == 0))
+    return gone.groupBy(F.element_at(held, -1).alias("label")).agg(F.count(F.lit(1)).alias("moved_cnt"))
+
+
+def move_to_nolabel(dist: DataFrame, moved: DataFrame, listed: Sequence[str]) -> DataFrame:
+    """``label, cnt`` without the listed labels, what they moved added to ``nolabel``."""
+    extra = moved.select(F.lit(NO_LABEL).alias("label"), F.col("moved_cnt").alias("cnt"))
+    kept = dist.filter(~F.col("label").isin(list(listed))).select("label", "cnt")
+    return kept.unionByName(extra).groupBy("label").agg(F.sum("cnt").alias("cnt"))

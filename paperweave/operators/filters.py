@@ -12,7 +12,9 @@ from paperweave.constants import PLACEHOLDER_LABEL
 
 def select_complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Keep the columns and the rows in which none of them is null or empty."""
-    return df.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in columns]).na.drop("any")
+    kinds = dict(df.dtypes)
+    kept = [F.nullif(F.col(c), F.lit("")).alias(c) if kinds[c] == "string" else F.col(c) for c in columns]
+    return df.select(*kept).na.drop("any")
 
 
 def drop_missing(df: DataFrame, columns: Sequence[str] = ("title", "abstract")) -> DataFrame:

@@ -51,8 +51,8 @@ def score_labels(labels: DataFrame, taxonomy: DataFrame, scorer=weighted_ratio,
 def best_match(scored: DataFrame) -> DataFrame:
     """``src, dst``: the best name if it scores 95 or more, else the longest among those with 90 or more."""
     good = scored.filter(F.col("score") >= ACCEPT_LEAST)
-    best = F.max_by(F.struct("name", "score"), F.struct("score", -F.col("ord")))
-    longest = F.max_by("name", F.struct(F.length("name"), F.col("score"), -F.col("ord")))
+    best = F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), F.col("ord")))
+    longest = F.min_by("name", F.struct(-F.length("name"), -F.col("score"), F.col("ord")))
     picked = good.groupBy("label").agg(best.alias("best"), longest.alias("longest"))
     dst = F.when(F.col("best.score") >= SURE_SCORE, F.col("best.name")).otherwise(F.col("longest"))
     return picked.select(F.col("label").alias("src"), dst.alias("dst"))

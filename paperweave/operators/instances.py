@@ -47,7 +47,7 @@ def instance_lines(instances: DataFrame) -> DataFrame:
     """One tab-separated line per instance, in the column ``value``."""
     line = F.concat_ws(
         "\t",
-        F.when("is_true", "true").otherwise("false"),
+        F.when(F.col("is_true"), "true").otherwise("false"),
         F.concat(F.lit("["), "file", F.lit("].txt")),
         F.concat(F.lit("["), "label", F.lit("]")),
         "description",

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperweave.constants import PLACEHOLDER_LABEL
+from paperweave.functions.labels import with_lookup
+
 # A key with more rows than this is spread over several tasks.
 HOT_ROWS = 500_000
 
@@ -99,12 +102,14 @@ def first_mapped(df: DataFrame, subjects: str, mapping: DataFrame, key: str = "p
 
 
 def apply_mapping(
-    df: DataFrame, subjects: Column, mapping: Column, placeholder: str = "Science"
+    df: DataFrame, subjects: Column, mapping: DataFrame, placeholder: str = PLACEHOLDER_LABEL
 ) -> DataFrame:
-    """Give placeholder papers the target of their first known subject; ``mapping`` is a map column."""
-    targets = F.filter(F.transform(subjects, lambda x: F.try_element_at(mapping, x)), lambda x: x.isNotNull())
-    replace = F.when(F.col("label") == placeholder, F.get(targets, F.lit(0)))
-    return df.withColumn("label", F.coalesce(replace, F.col("label")))
+    """Give placeholder papers the target of their first known subject in the ``(src, dst)`` table."""
+    mapped = with_lookup(df, mapping)
+    known = F.filter(subjects, lambda x: F.try_element_at(F.col("_map"), x).isNotNull())
+    target = F.try_element_at(F.col("_map"), F.get(known, F.lit(0)))
+    replace = F.when(F.col("label") == placeholder, target)
+    return mapped.withColumn("label", F.coalesce(replace, F.col("label"))).drop("_map")
 
 
 def uncovered_labels(test: DataFrame, train: DataFrame) -> DataFrame:

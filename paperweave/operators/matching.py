@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 from paperweave.functions.similarity import at_least, score
 from paperweave.functions.text import clean_abstract, normalise_authors
@@ -131,7 +132,7 @@ def _author_point(found: list[str], own: list[str]) -> int:
     return int(any(best > 60 and any(score(p, o.lower()) >= AUTHOR_LEAST for p in parts) for o, best in reached))
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def _author_udf(found: pd.Series, own: pd.Series) -> pd.Series:
     return pd.Series(
         [_author_point(f if f is not None else [], o if o is not None else []) for f, o in zip(found, own)],
@@ -194,7 +195,7 @@ def enrich(papers: DataFrame, first: DataFrame, second: DataFrame, pages: DataFr
     and url only fill gaps. The first source sets ``crossref_field``, the other ones ``semantic_field``.
     """
     own = papers.columns
-    found = validate_match(attach_records(papers, first)).withColumn("_rec", F.when("valid", F.col("match")))
+    found = validate_match(attach_records(papers, first)).withColumn("_rec", F.when(F.col("valid"), F.col("match")))
     settled = found.filter("valid").withColumn("_from", F.lit(1))
     open_papers = found.filter(~F.col("valid")).select(*own)
 
@@ -210,7 +211,7 @@ def enrich(papers: DataFrame, first: DataFrame, second: DataFrame, pages: DataFr
     record = F.coalesce(F.col("match"), F.col("_page"))
     is_page = F.col("match").isNull() & F.col("_page").isNotNull()
     checked = validate_match(attached.withColumn("match", record).withColumn("_is_page", is_page))
-    rest = checked.withColumn("_rec", F.when("valid", F.col("match"))).withColumn(
+    rest = checked.withColumn("_rec", F.when(F.col("valid"), F.col("match"))).withColumn(
         "_from", F.when(~F.col("valid"), F.lit(0)).when(F.col("_is_page"), F.lit(3)).otherwise(F.lit(2))
     )
     both = settled.select(*own, "_rec", "_from").unionByName(rest.select(*own, "_rec", "_from"))

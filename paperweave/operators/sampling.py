@@ -24,11 +24,11 @@ def sample_proportional(df: DataFrame, quotas: DataFrame, key: str, seed: int =
     """
     known = quotas.agg(F.sort_array(F.collect_set("label"))).scalar()
     offered = F.array_intersect(F.array_distinct(F.col(labels)), known)
-    ranked = F.transform(offered, lambda x: F.struct(hash_order(seed, F.col(key), x).alias("h"), x.alias("label")))
-    drawn = df.withColumn("_pick", F.array_min(ranked)).filter(F.col("_pick").isNotNull())
+    ranked = F.transform("_offered", lambda x: F.struct(hash_order(seed, F.col(key), x).alias("h"), x.alias("label")))
+    drawn = df.withColumn("_offered", offered).withColumn("_pick", F.array_min(ranked)).filter(F.col("_pick").isNotNull())
     drawn = drawn.withColumn("drawn_for", F.col("_pick.label")).withColumn("_digest", hash_order(seed, F.col(key)))
     limits = quotas.select(F.col("label").alias("drawn_for"), F.col("quota").alias("limit"))
-    marked = first_by_hash(drawn.drop("_pick"), ["drawn_for"], limits, "_digest")
+    marked = first_by_hash(drawn.drop("_pick", "_offered"), ["drawn_for"], limits, "_digest")
     return marked.filter("picked").drop("picked", "_digest")
 
 
@@ -110,7 +110,7 @@ def stratified_split(df: DataFrame, ratio: float, key: str, label: str = "label"
     dist = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("cnt"))
     limits = split_counts(dist, ratio, seed).select(F.col("label").alias(label), F.col("n_train").alias("limit"))
     marked = first_by_hash(df.withColumn("_digest", hash_order(seed, F.col(key))), [label], limits, "_digest")
-    return marked.withColumn("split", F.when("picked", "train").otherwise("test")).drop("picked", "_digest")
+    return marked.withColumn("split", F.when(F.col("picked"), "train").otherwise("test")).drop("picked", "_digest")
 
 
 def pick_other(labels, own, digest):

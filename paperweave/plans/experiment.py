@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperweave.constants import TRAIN_SHARE, UNLABELLED_CODES
-from paperweave.functions.labels import lookup, map_strict
+from paperweave.functions.labels import map_strict, with_lookup
 from paperweave.functions.text import paper_text
 from paperweave.operators.corpus import add_new_data, reduce_by_distribution, to_nolabel
+from paperweave.operators.distribution import move_to_nolabel, moved_counts
 from paperweave.operators.features import embedding
 from paperweave.operators.learning import label_numbers, predict, train_classifier
 from paperweave.operators.metrics import confusion, label_precision, macro_scores, mean_over_batches, test_labels
@@ -53,15 +54,16 @@ def build_corpus(
     quotas = dist.filter("relevant").select("label", "quota")
     # known dois are those of the reduced corpus, as it is the table that gets extended
     merged, merged_dist = add_new_data(reduced, quotas, new, mapping, new_k, new_limit, key, seed)
-    return to_nolabel(merged, listed), merged_dist.filter(~F.col("label").isin(list(listed)))
+    moved = moved_counts(merged, listed)
+    return to_nolabel(merged, listed), move_to_nolabel(merged_dist, moved, listed)
 
 
 def prepare(corpus: DataFrame, mapping: DataFrame, experiment: str, key: str, share: float = TRAIN_SHARE) -> DataFrame:
     """``id, text, labels, split`` with mapped label names."""
-    rows = corpus.select(
+    rows = with_lookup(corpus, mapping).select(
         F.col(key).alias("id"),
         paper_text(F.col("title"), F.col("abstract"), experiment).alias("text"),
-        F.array_distinct(map_strict(F.col("categories"), lookup(mapping))).alias("labels"),
+        F.array_distinct(map_strict(F.col("categories"), F.col("_map"))).alias("labels"),
     )
     return random_split(rows, share, "id")
 

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperweave.constants import FIELD_PREDICATE
-from paperweave.functions.labels import lookup
 from paperweave.functions.text import clean_abstract, clean_subjects
 from paperweave.operators.distribution import completeness_stats
 from paperweave.operators.filters import needs_enrichment
@@ -52,7 +51,7 @@ def load_papers(spark: SparkSession, source: StatementSource) -> DataFrame:
 
 
 def harmonise(papers: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    return apply_mapping(papers, clean_subjects(F.col(column)), lookup(mapping))
+    return apply_mapping(papers, clean_subjects(F.col(column)), mapping)
 
 
 def complete_metadata(

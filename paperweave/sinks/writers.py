@@ -19,7 +19,9 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat = [
         F.array_join(F.col(n), ",").alias(n) if t.startswith("array<") else F.col(n) for n, t in df.dtypes
     ]
-    df.select(*flat).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+    df.select(*flat).write.mode("overwrite").csv(
+        path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def write_json_indexed(df: DataFrame, key: str, path: str) -> None:
