@@ -246,12 +246,12 @@ def sample_false_again(t) -> DataFrame:
 
 @query("false_instances_full", f"SELECT false AS is_true, 'test' AS file, n.label, {q.describe(['title', 'publisher'])} AS description FROM papers p, (SELECT DISTINCT label FROM papers) n WHERE n.label <> p.label", "papers")
 def false_instances_full(t) -> DataFrame:
-    return I.false_instances_full(t.papers, t.papers.select("label"), ["title", "publisher"])
+    return I.false_instances_full(t.papers, t.papers.select("label"), ["title_publisher"]).drop("experiment")
 
 
 @query("true_instances", f"SELECT true AS is_true, 'test' AS file, label, {q.describe(['title', 'abstract'])} AS description FROM papers WHERE label IN (SELECT src FROM mapping)", "papers mapping")
 def true_instances(t) -> DataFrame:
-    return I.true_instances(t.papers, t.mapping.select(F.col("src").alias("label")), ["title", "abstract"])
+    return I.true_instances(t.papers, t.mapping.select(F.col("src").alias("label")), ["title_abstract"]).drop("experiment")
 
 
 @query(

@@ -1,0 +1,237 @@
+"""Queries over features, classifiers, experiments and streams."""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from paperweave.catalog import sqltext as q
+from paperweave.catalog.registry import query
+from paperweave.functions import text
+from paperweave.functions.hashing import hash_fraction, hash_order
+from paperweave.operators import features as T
+from paperweave.operators import learning as L
+from paperweave.operators.metrics import macro_scores
+from paperweave.operators.nested import explode_labels
+from paperweave.plans import experiment as E
+from paperweave.session import work_path
+from paperweave.sinks.writers import load_model, save_model
+from paperweave.streaming.rate import rate_stream
+from paperweave.streaming.scoring import score_stream
+
+_TRAIN = f"{q.fraction(q.digest(100, 'doc_id'))} < 0.7"
+_UNIGRAMS = f"words AS (SELECT doc_id, {q.tokens('text')} AS tokens FROM documents)"
+_TERMS = f"base AS (SELECT doc_id, {q.unigrams(q.tokens('text'))} AS u FROM documents), words AS (SELECT doc_id, {q.with_bigrams('u')} AS tokens FROM base)"
+_COUNTED = """
+    each AS (SELECT doc_id, unnest(tokens) AS term FROM words),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM each GROUP BY ALL),
+"""
+_SUMMARY = """
+    weights AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM weighted WHERE w > 0)
+    SELECT doc_id, count(*) AS n_terms, round(sum(weight), 5) AS total, round(max(weight), 5) AS top FROM weights GROUP BY doc_id
+"""
+
+
+def _in_train(key: str = "doc_id"):
+    return hash_fraction(hash_order(100, F.col(key))) < 0.7
+
+
+def _tokens(t, bigrams: bool) -> DataFrame:
+    words = t.documents.select("doc_id", text.tokens("text").alias("tokens"))
+    return words.select("doc_id", text.terms("tokens").alias("tokens")) if bigrams else words
+
+
+def _summary(weights: DataFrame) -> DataFrame:
+    return weights.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("top")
+    )
+
+
+@query("document_frequency", f"WITH {_UNIGRAMS}, {_COUNTED} df AS (SELECT term, count(*) AS df FROM tf GROUP BY term) SELECT * FROM df")
+def document_frequency(t) -> DataFrame:
+    return T.document_frequency(_tokens(t, False))
+
+
+@query(
+    "tfidf",
+    f"""
+    WITH {_TERMS}, {_COUNTED}
+    df AS (SELECT term, count(*) AS df FROM tf WHERE {_TRAIN} GROUP BY term), n AS (SELECT count(*) AS n FROM documents WHERE {_TRAIN}),
+    weighted AS (SELECT doc_id, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0)::DOUBLE AS w FROM tf JOIN df USING (term), n), {_SUMMARY}
+    """,
+)
+def tfidf(t) -> DataFrame:
+    rows = _tokens(t, True)
+    return _summary(T.tfidf(rows, "doc_id", fit_on=rows.filter(_in_train())))
+
+
+@query(
+    "tfidf_log2",
+    f"""
+    WITH {_UNIGRAMS}, {_COUNTED}
+    df AS (SELECT term, count(*) AS df FROM tf WHERE {_TRAIN} GROUP BY term), n AS (SELECT count(*) AS n FROM documents WHERE {_TRAIN}),
+    weighted AS (SELECT doc_id, term, tf * log2(n::DOUBLE / df)::DOUBLE AS w FROM tf JOIN df USING (term), n), {_SUMMARY}
+    """,
+)
+def tfidf_log2(t) -> DataFrame:
+    rows = _tokens(t, False)
+    return _summary(T.tfidf_log2(rows, "doc_id", fit_on=rows.filter(_in_train())))
+
+
+@query("tfidf_stages_agree", "SELECT count(*) AS n, count(*) AS n_agree FROM documents")
+def tfidf_stages_agree(t) -> DataFrame:
+    """The pipeline stages give the same weights as the long form: both are summed up per document."""
+    rows = t.documents.select("doc_id", "text")
+    model = T.tfidf_pipeline("text").fit(rows)
+    stages = model.transform(rows).select("doc_id", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).alias("s"))
+    long = T.tfidf(_tokens(t, True), "doc_id").groupBy("doc_id").agg(F.sum("weight").alias("total"))
+    both = stages.join(long, "doc_id", "left")
+    agree = F.abs(F.col("s") - F.coalesce("total", F.lit(0.0))) < 1e-6
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(agree).alias("n_agree"))
+
+
+_KEPT = "list_filter(string_split(text, '.'), lambda s: length(s) > 5)[1:10]"
+_N_WORDS = f"len(list_filter(string_split_regex(s, '[{q.SPACE_CLASS}]+'), lambda w: w <> ''))"
+
+
+@query("sentence_vectors", f"SELECT doc_id, 5120 AS n, coalesce(list_sum(list_transform({_KEPT}, lambda s: {_N_WORDS})), 0)::DOUBLE AS words FROM documents")
+def sentence_vectors(t) -> DataFrame:
+    vectors = T.sentence_vectors(t.documents.select("doc_id", "text"), "text", 10)
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return vectors.select("doc_id", F.size("vector").cast("bigint").alias("n"), total.alias("words"))
+
+
+# Classifiers -----------------------------------------------------------------------------------------
+
+
+def _model(max_iter: int = 15):
+    return L.classifier(max_iter=max_iter)
+
+
+def _vectors(t) -> DataFrame:
+    return t.embeddings.select("vec_id", F.col("label").cast("string").alias("label"), array_to_vector("embedding").alias("features"))
+
+
+def _embedding_predictions(t) -> DataFrame:
+    rows = _vectors(t)
+    model = L.train_classifier(rows.filter(_in_train("vec_id")), Pipeline(stages=[]), "label", _model())
+    return L.predict(model, rows.filter(~_in_train("vec_id")), ["vec_id", "label"])
+
+
+@query("train_classifier", f"SELECT vec_id, label::VARCHAR AS label FROM embeddings WHERE NOT ({_TRAIN.replace('doc_id', 'vec_id')})")
+def train_classifier(t) -> DataFrame:
+    """Every test row gets exactly one known label; which one is up to the optimiser."""
+    known = F.col("pred").cast("int").between(0, 9)
+    return _embedding_predictions(t).filter(known).select("vec_id", "label")
+
+
+@query("predict_scores")
+def predict_scores(t) -> DataFrame:
+    rows = _embedding_predictions(t).select(F.col("vec_id").alias("id"), F.array("label").alias("labels"), "pred")
+    return macro_scores(rows)
+
+
+@query("tune_classifier")
+def tune_classifier(t) -> DataFrame:
+    rows = _vectors(t)
+    train = L.label_indexer().fit(rows).transform(rows).select("vec_id", "label", "features", "label_idx")
+    model, settings = L.tune(train, max_iter=5)
+    found = model.transform(train)
+    hit = F.avg((F.col("prediction") == F.col("label_idx")).cast("double"))
+    return found.agg(hit.alias("accuracy")).withColumn("alpha", F.lit(settings["alpha"])).withColumn("tol", F.lit(settings["tol"]))
+
+
+@query("label_numbers", "SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx FROM (SELECT DISTINCT unnest(labels) AS label FROM predictions) t", "predictions")
+def label_numbers(t) -> DataFrame:
+    return L.label_numbers(t.predictions)
+
+
+def _text_models(t):
+    """Title model and title and abstract model for the language of a paper."""
+    rows = t.corpus.select(F.col("doc_id").alias("paper_id"), "title", "abstract", F.col("lang").alias("label"))
+    models = []
+    for form in ("title", "title_abstract"):
+        train = rows.withColumn("text", text.paper_text(F.col("title"), F.col("abstract"), form))
+        models.append(L.train_classifier(train, T.embedding("tfidf hashed", vocabulary=1 << 14), "label", _model(5)))
+    return rows, models
+
+
+@query("batch_predict", "SELECT doc_id AS paper_id, true AS known FROM documents")
+def batch_predict(t) -> DataFrame:
+    rows, models = _text_models(t)
+    return L.batch_predict(rows.drop("label"), *models).select("paper_id", F.col("label").isin("en", "fr", "de", "es").alias("known"))
+
+
+@query("save_and_load_model", "SELECT count(*) AS n, count(*) AS n_equal FROM embeddings")
+def save_and_load_model(t) -> DataFrame:
+    rows = _vectors(t)
+    model = L.train_classifier(rows, Pipeline(stages=[]), "label", _model(5))
+    path = work_path(t.spark, "model")
+    save_model(model, path)
+    one = L.predict(model, rows, ["vec_id"])
+    two = L.predict(load_model(path), rows, ["vec_id"]).withColumnRenamed("pred", "again")
+    return one.join(two, "vec_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pred") == F.col("again")).alias("n_equal"))
+
+
+@query("run_experiment")
+def run_experiment(t) -> DataFrame:
+    result = E.run_experiment(t.corpus, t.full_mapping, "title", "doc_id", "tfidf hashed", _model(5), vocabulary=1 << 14)
+    return result.scores
+
+
+@query("build_corpus")
+def build_corpus(t) -> DataFrame:
+    base = t.corpus.select("doc_id", "title", "abstract", "doi", "categories")
+    return E.build_corpus(base, t.new_papers, t.full_mapping, 400, 18, 15, 10, "doc_id", ["src3", "long"])[1]
+
+
+@query("explode_training_labels", f"SELECT doc_id, CASE WHEN {_TRAIN} THEN label END AS label FROM (SELECT doc_id, unnest(CASE WHEN {_TRAIN} THEN categories ELSE ['x'] END) AS label FROM corpus) t", "corpus")
+def explode_training_labels(t) -> DataFrame:
+    rows = t.corpus.withColumn("split", F.when(_in_train(), "train").otherwise("test"))
+    return explode_labels(rows, "categories").select("doc_id", "label")
+
+
+# Streams ---------------------------------------------------------------------------------------------
+
+
+def _stream(t, table: str) -> DataFrame:
+    schema = getattr(t, table).schema
+    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.sf_dir)
+
+
+def _run(t, stream: DataFrame, name: str) -> DataFrame:
+    out = work_path(t.spark, name)
+    job = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
+    job.awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(out)
+
+
+@query(
+    "rate_stream",
+    """
+    WITH w AS (
+        SELECT event_type, (epoch_us(ts) // 60000000 - i) * 60 AS start
+        FROM events, range(5) r(i)
+    )
+    SELECT start, event_type, count(*) AS in_span, count(*) >= 3 AS over_limit FROM w
+    WHERE (start + 300) * 1000000 <= (SELECT max(epoch_us(ts)) FROM events) // 1000 * 1000 - 600000000
+    GROUP BY start, event_type
+    """,
+)
+def rate_stream_query(t) -> DataFrame:
+    events = _stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = _run(t, rate_stream(events, "event_type", limit=3), "rates")
+    return rows.select(F.unix_seconds("start").alias("start"), "event_type", "in_span", "over_limit")
+
+
+@query("score_stream", "SELECT doc_id AS paper_id, true AS known FROM documents")
+def score_stream_query(t) -> DataFrame:
+    _, models = _text_models(t)
+    title = F.regexp_extract("text", r"^[^.\n]*", 0)
+    papers = _stream(t, "documents").withColumn("title", title).select(
+        F.col("doc_id").alias("paper_id"), "title", F.substring(F.col("text"), F.length("title") + 1, F.length("text")).alias("abstract")
+    )
+    rows = _run(t, score_stream(papers, *models), "scored")
+    return rows.select("paper_id", F.col("label").isin("en", "fr", "de", "es").alias("known"))

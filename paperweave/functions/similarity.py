@@ -1,7 +1,7 @@
 """String similarity on a 0-100 scale.
 
-``ratio`` is 200 * LCS / (len a + len b), rounded. The scorer is the only Python code in the matching
-operators; a bound on the edit distance settles nearly all pairs inside the JVM first.
+``ratio`` is 200 * LCS / (len a + len b), rounded. The scorers are the only Python code in the matching
+operators; a bound on the edit distance sorts out nearly all other pairs inside the JVM first.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 
+LONG_TEXT = 500
+
+
 def _common(a: str, b: str) -> int:
     """Length of the longest common subsequence, one machine-word-parallel row per character."""
     if len(a) > len(b):
@@ -79,9 +82,10 @@ def weighted_score(left: str, right: str) -> int:
 
 
 @pandas_udf(IntegerType())
-def _score_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+def _score_udf(pair: pd.DataFrame) -> pd.Series:
+    """Scores of (a, b) structs; a null struct stays null, so settled pairs cost nothing here."""
     return pd.Series(
-        [None if x is None or y is None else score(x, y) for x, y in zip(a, b)], dtype="Int32"
+        [None if x is None or y is None else score(x, y) for x, y in zip(pair["a"], pair["b"])], dtype="Int32"
     )
 
 
@@ -92,37 +96,32 @@ def _weighted_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
+def _scored(condition: Column, a: Column, b: Column) -> Column:
+    # one struct argument: the condition, which may be costly, is evaluated once per pair
+    return _score_udf(F.when(condition, F.struct(a.alias("a"), b.alias("b"))))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """0-100 similarity; equal strings never leave the JVM."""
-    differ = a != b
-    return F.when(a == b, F.lit(100)).otherwise(_score_udf(F.when(differ, a), F.when(differ, b)))
+    return F.when(a == b, F.lit(100)).otherwise(_scored(a != b, a, b))
 
 
 def weighted_ratio(a: Column, b: Column) -> Column:
     return _weighted_udf(a, b)
 
 
-def _budget(a: Column, b: Column, least: int) -> Column:
-    """Most insertions and deletions a pair may need for ``ratio >= least``.
-
-    Half a point is the rounding; halves round to the even neighbour, so an odd ``least`` is out of reach
-    of the exact half, which the score itself decides.
-    """
-    return F.lit((100 - least + 0.5) / 100.0) * (F.length(a) + F.length(b)) + F.lit(1e-9)
-
-
 def at_least(a: Column, b: Column, least: int) -> Column:
-    """``ratio(a, b) >= least`` for ``least`` well above 50.
+    """``ratio(a, b) >= least``, false if a side is null.
 
-    Insertions and deletions lie between one and two times the edit distance. A distance above the budget
-    is a sure miss and one below half of it a sure hit; only what lies between is scored in Python.
+    A pair that reaches ``least`` needs at most ``(100.5 - least) / 100`` of its characters as insertions and
+    deletions (the half point is the rounding), and there are at least as many of these as the edit distance
+    counts. Pairs that differ more, in length or in distance, are settled in the JVM; the distance only fills
+    a band of that width and gives -1 beyond it.
     """
-    budget = _budget(a, b, least)
+    budget = F.lit((100 - least + 0.5) / 100.0) * (F.length(a) + F.length(b)) + F.lit(1e-9)
     room = F.floor(budget).cast("int")
-    near = F.abs(F.length(a) - F.length(b)) <= room
-    # the bounded form fills only a band around the diagonal and gives -1 above the bound
-    distance = F.when(near & (a != b), F.call_function("levenshtein", a, b, room))
-    near_hit = (distance >= 0) & (2 * distance < budget - F.lit(1e-6))
-    open_case = (distance >= 0) & ~near_hit
-    scored = _score_udf(F.when(open_case, a), F.when(open_case, b))
-    return F.coalesce((a == b) | near_hit | (open_case & (scored >= least)), F.lit(False))
+    near = (a != b) & (F.abs(F.length(a) - F.length(b)) <= room)
+    # the band grows with the length, the score does 64 places at a time: long texts go straight to it
+    short = F.length(a) <= LONG_TEXT
+    close = near & F.when(short, F.call_function("levenshtein", a, b, room) >= 0).otherwise(F.lit(True))
+    return F.coalesce((a == b) | (_scored(close, a, b) >= least), F.lit(False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 import pandas as pd
@@ -14,16 +15,18 @@ from paperweave.functions.similarity import at_least, score
 from paperweave.functions.text import clean_abstract, normalise_authors
 from paperweave.operators.filters import fill_empty, overwrite
 from paperweave.operators.joins import lookup_join
+from paperweave.session import landed
 
 TITLE_LEAST = 96  # "above 95" on whole numbers
 AUTHOR_LEAST = 85
 ACCEPT_SCORE = 2
 HOT_GRAM = 20_000
+LONGEST_PIECE = 8
 
 
 def _gram_length(length: Column, share: float) -> Column:
-    """Longest piece, up to 8, such that cutting a text of this length gives more pieces than edits."""
-    return F.least(F.lit(8), F.floor(length / (_edits(length, share) + 1))).cast("int")
+    """Longest piece, up to a bound, such that cutting a text of this length gives more pieces than edits."""
+    return F.least(F.lit(LONGEST_PIECE), F.floor(length / (_edits(length, share) + 1))).cast("int")
 
 
 def _edits(length: Column, share: float) -> Column:
@@ -31,11 +34,22 @@ def _edits(length: Column, share: float) -> Column:
     return F.floor(length * F.lit(share * (1 + (1 + share) / (1 - share))) + F.lit(1e-9))
 
 
-def _grams(text: Column, size: Column, step: Column) -> Column:
-    """Substrings of ``size`` characters at every ``step``-th place."""
-    count = F.floor((F.length(text) - size) / step)
-    starts = F.when(count >= 0, F.sequence(F.lit(0), count.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(text, i * step + 1, size))
+def _settled_length(share: float) -> int:
+    """From this length on every text is cut into pieces of the longest size."""
+    left_over = 1 - LONGEST_PIECE * share * (1 + (1 + share) / (1 - share))
+    return math.ceil(LONGEST_PIECE / left_over) + 1 if left_over > 0.05 else 2**31 - 1
+
+
+def _pieces(text: Column, size: Column, overlapping: bool) -> Column:
+    """Substrings of ``size`` (1 to 8) characters, at every place or one after the other.
+
+    One regex pass per text: cutting substrings by position would walk the text anew for each of them.
+    """
+    cut = F.array().cast("array<string>")
+    for n in range(1, LONGEST_PIECE + 1):
+        pattern = f"(?s)(?=(.{{{n}}}))" if overlapping else f"(?s)(.{{{n}}})"
+        cut = F.when(size == n, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(cut)
+    return cut
 
 
 def similar_texts(left: DataFrame, right: DataFrame, least: int = TITLE_LEAST) -> DataFrame:
@@ -53,21 +67,22 @@ def similar_texts(left: DataFrame, right: DataFrame, least: int = TITLE_LEAST) -
     probe = left.withColumn("n", size).withColumn("need", _edits(F.col("n"), share) + 1)
     # a text so short that no edit is allowed can only be equal
     probe = probe.filter(F.col("need") > 1).withColumn("q", _gram_length(F.col("n"), share))
-    pieces = probe.select("id", "n", "need", "q", F.explode(_grams(F.col("text"), F.col("q"), F.col("q"))).alias("gram"))
+    pieces = probe.select("id", "n", "need", "q", F.explode(_pieces(F.col("text"), F.col("q"), False)).alias("gram"))
 
     index = right.withColumn("n", size)
     low = F.ceil(F.col("n") * F.lit((1 - share) / (1 + share)) - F.lit(1e-9)).cast("int")
     high = F.floor(F.col("n") * F.lit((1 + share) / (1 - share)) + F.lit(1e-9)).cast("int")
     # beyond this length the piece length no longer changes
-    settled = F.lit(2 * int(8 / (1 - 8 * share * (1 + (1 + share) / (1 - share)))) if share < 0.06 else 10**9)
+    settled = F.lit(_settled_length(share))
     lengths = F.sequence(F.greatest(low, F.lit(1)), F.greatest(low, F.lit(1), F.least(high, settled)))
     sizes = F.array_distinct(F.transform(lengths, lambda x: _gram_length(x, share)))
     sized = index.select("id", "n", "text", F.explode(F.filter(sizes, lambda x: x > 0)).alias("q"))
-    grams = F.array_distinct(_grams(F.col("text"), F.col("q"), F.lit(1)))
+    grams = F.array_distinct(_pieces(F.col("text"), F.col("q"), True))
+    # the planner cannot see how many rows the substrings make, so the joins with them must not be broadcasts
     index = sized.select("id", "n", "q", F.explode(grams).alias("gram"))
 
     frequency = index.groupBy("q", "gram").agg(F.count(F.lit(1)).alias("df"))
-    counted = pieces.join(frequency, ["q", "gram"], "left")
+    counted = pieces.join(frequency.hint("merge"), ["q", "gram"], "left")
     chosen = counted.groupBy("id", "n", "need", "q").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("all")
     )
@@ -87,7 +102,7 @@ def similar_texts(left: DataFrame, right: DataFrame, least: int = TITLE_LEAST) -
     a, b = chosen.alias("a"), spread.alias("b")
     close = F.abs(F.col("a.n") - F.col("b.n")) <= F.lit(share) * (F.col("a.n") + F.col("b.n")) + F.lit(1e-9)
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("q", "gram", "part")]
-    pairs = a.join(b, [*same, close]).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
+    pairs = a.join(b.hint("merge"), [*same, close]).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
     texts = pairs.join(left.select(F.col("id").alias("left_id"), F.col("text").alias("left_text")), "left_id").join(
         right.select(F.col("id").alias("right_id"), F.col("text").alias("right_text")), "right_id"
     )
@@ -96,30 +111,30 @@ def similar_texts(left: DataFrame, right: DataFrame, least: int = TITLE_LEAST) -
 
 
 def match_by_title(papers: DataFrame, candidates: DataFrame, rank: str = "rank") -> DataFrame:
-    """Adds ``match``: the first candidate, by rank, with an equal or nearly equal title; null if none.
+    """Adds ``match``: the first candidate, by its unique rank, with an equal or nearly equal title; else null.
 
     The comparison runs on distinct lower-cased titles, so a title shared by many papers or candidates is
-    compared once. ``papers`` needs ``paper_id`` and ``title``.
+    compared once. These narrow tables are written first, since the comparison reads them several times.
+    ``papers`` needs ``paper_id`` and ``title``.
     """
-    best = (
-        candidates.filter(F.col("title").isNotNull())
-        .groupBy(F.lower("title").alias("text"))
-        .agg(F.min(rank).alias("id"), F.min_by(F.struct(*candidates.columns), F.col(rank)).alias("rec"))
-    )
-    asked = (
-        papers.filter(F.col("title").isNotNull())
-        .groupBy(F.lower("title").alias("text"))
-        .agg(F.min("paper_id").alias("id"))
-    )
-    near = similar_texts(asked.select("id", "text"), best.select("id", "text"))
+    text = F.lower("title").alias("text")
+    titles = candidates.filter(F.col("title").isNotNull()).groupBy(text).agg(F.min(rank).alias("id"))
+    best = landed(titles, "candidate-titles")
+    titles = papers.filter(F.col("title").isNotNull()).groupBy(text).agg(F.min("paper_id").alias("id"))
+    asked = landed(titles, "paper-titles")
+
+    near = similar_texts(asked, best)
     equal = asked.join(best.select("text", F.col("id").alias("right_id")), "text").select(
         F.col("id").alias("left_id"), "right_id"
     )
     first = near.unionByName(equal).groupBy("left_id").agg(F.min("right_id").alias("right_id"))
-    records = first.join(best.select(F.col("id").alias("right_id"), "rec"), "right_id")
-    by_title = asked.join(records, asked["id"] == records["left_id"]).select("text", F.col("rec").alias("match"))
+    by_title = landed(
+        asked.join(first, F.col("id") == F.col("left_id")).select("text", F.col("right_id").alias("_rank")), "title-matches"
+    )
+    records = candidates.select(F.col(rank).alias("_rank"), F.struct(*candidates.columns).alias("match"))
+    found = by_title.join(records, "_rank").drop("_rank")
     keyed = papers.withColumn("text", F.lower("title"))
-    return lookup_join(keyed, by_title, "text", keys_of=papers.select(F.lower("title").alias("text"))).drop("text")
+    return lookup_join(keyed, found, "text", keys_of=papers.select(text)).drop("text")
 
 
 def _author_point(found: list[str], own: list[str]) -> int:
@@ -195,7 +210,9 @@ def enrich(papers: DataFrame, first: DataFrame, second: DataFrame, pages: DataFr
     and url only fill gaps. The first source sets ``crossref_field``, the other ones ``semantic_field``.
     """
     own = papers.columns
+    # both branches below go on from here, so the first source is matched once and written
     found = validate_match(attach_records(papers, first)).withColumn("_rec", F.when(F.col("valid"), F.col("match")))
+    found = landed(found.select(*own, "_rec", "valid"), "first-source")
     settled = found.filter("valid").withColumn("_from", F.lit(1))
     open_papers = found.filter(~F.col("valid")).select(*own)
 
@@ -210,7 +227,7 @@ def enrich(papers: DataFrame, first: DataFrame, second: DataFrame, pages: DataFr
     # a page stands in for a record only if neither side has a doi
     record = F.coalesce(F.col("match"), F.col("_page"))
     is_page = F.col("match").isNull() & F.col("_page").isNotNull()
-    checked = validate_match(attached.withColumn("match", record).withColumn("_is_page", is_page))
+    checked = validate_match(attached.withColumn("_is_page", is_page).withColumn("match", record))
     rest = checked.withColumn("_rec", F.when(F.col("valid"), F.col("match"))).withColumn(
         "_from", F.when(~F.col("valid"), F.lit(0)).when(F.col("_is_page"), F.lit(3)).otherwise(F.lit(2))
     )

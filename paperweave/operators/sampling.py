@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperweave.functions.hashing import hash_fraction, hash_int, hash_order
 from paperweave.operators.selection import first_by_hash
+from paperweave.session import landed
 
 
 def drop_rare(df: DataFrame, rare: DataFrame, key: str, labels: str = "categories") -> DataFrame:
@@ -127,7 +128,8 @@ def sample_false(train: DataFrame, percentage: float, key: str, label: str = "la
     number) and ``false_label``.
     """
     rows = train.withColumn("_digest", hash_order(seed, F.col(key)))
-    dist = train.groupBy(label).agg(F.count(F.lit(1)).alias("_cnt"))
+    # label-sized and read several times
+    dist = landed(train.groupBy(label).agg(F.count(F.lit(1)).alias("_cnt")), "label-counts")
     labels = dist.agg(F.sort_array(F.collect_set(label))).scalar()
     totals = dist.agg(
         F.floor(F.sum("_cnt") * F.lit(float(percentage))).cast("bigint").alias("n"),

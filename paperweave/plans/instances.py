@@ -11,6 +11,7 @@ from paperweave.operators.distribution import labels_by_threshold
 from paperweave.operators.filters import select_complete, with_known_label, without_placeholder
 from paperweave.operators.instances import false_instances_full, false_instances_sampled, true_instances
 from paperweave.operators.sampling import stratified_split
+from paperweave.session import landed
 
 DESCRIPTION_COLUMNS = ["abstract", "author", "title", "publisher"]
 
@@ -34,18 +35,18 @@ def build_instances(
     seed: int = 100,
 ) -> DataFrame:
     """``experiment, split`` and the instance columns, for each set of description columns."""
-    rows = select_training_rows(papers, threshold, most, key)
-    labels = rows.select("label").distinct()
-    parted = stratified_split(rows, ratio, key, seed=seed)
-    train, test = parted.filter("split = 'train'"), parted.filter("split = 'test'")
-    result = None
-    for name in experiments:
-        columns = name.split("_")
-        parts = [("train", true_instances(train, labels, columns)), ("test", true_instances(test, labels, columns))]
-        if with_false:
-            parts.append(("train", false_instances_sampled(train, columns, percentage, key, seed)))
-            parts.append(("test", false_instances_full(test, labels, columns)))
-        for split, part in parts:
-            tagged = part.select(F.lit(name).alias("experiment"), F.lit(split).alias("split"), "*")
-            result = tagged if result is None else result.unionByName(tagged)
-    return result
+    # the chosen rows and their split are read by every branch below
+    rows = landed(select_training_rows(papers, threshold, most, key), "training-rows")
+    labels = landed(rows.select("label").distinct(), "labels")
+    parted = landed(stratified_split(rows, ratio, key, seed=seed), "split")
+    test = F.col("split") == "test"
+    true = [
+        true_instances(parted.filter(rule), labels, experiments).withColumn("split", F.lit(name))
+        for name, rule in (("train", ~test), ("test", test))
+    ]
+    if not with_false:
+        return true[0].unionByName(true[1])
+    sampled = false_instances_sampled(parted.filter(~test), experiments, percentage, key, seed)
+    full = false_instances_full(parted.filter(test), labels, experiments)
+    false = [sampled.withColumn("split", F.lit("train")), full.withColumn("split", F.lit("test"))]
+    return true[0].unionByName(true[1]).unionByName(false[0]).unionByName(false[1])

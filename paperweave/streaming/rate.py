@@ -23,14 +23,17 @@ def rate_window(
     there, so each slice is counted on its own and a key with a third of all requests is many small groups.
     """
     width = max(slice_seconds, span)
-    micros = F.unix_micros(F.col(ts))
+    if dict(events.dtypes)[ts] == "timestamp_ntz":
+        micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
+    else:
+        micros = F.unix_micros(F.col(ts))
     own = F.floor(micros / F.lit(width * 1_000_000)).cast("bigint")
     reach = F.floor((micros + F.lit(span * 1_000_000)) / F.lit(width * 1_000_000)).cast("bigint")
-    placed = events.withColumn("_own", own).withColumn("_slice", F.explode(F.sequence(own, reach)))
-    order = Window.partitionBy(key, "_slice").orderBy(F.unix_micros(F.col(ts)))
+    placed = events.withColumn("_micros", micros).withColumn("_own", own).withColumn("_slice", F.explode(F.sequence(own, reach)))
+    order = Window.partitionBy(key, "_slice").orderBy("_micros")
     trailing = order.rangeBetween(-span * 1_000_000, Window.currentRow)
     counted = placed.withColumn("in_span", F.count(F.lit(1)).over(trailing))
-    kept = counted.filter(F.col("_slice") == F.col("_own")).drop("_own", "_slice")
+    kept = counted.filter(F.col("_slice") == F.col("_own")).drop("_micros", "_own", "_slice")
     return kept.withColumn("over_limit", F.col("in_span") >= limit)
 
 

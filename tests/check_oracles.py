@@ -46,8 +46,8 @@ def table(columns, rows):
     )
 
 
-def compare(spark_df, con, sql: str) -> list[str]:
-    left = table(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+def compare(columns, rows, con, sql: str) -> list[str]:
+    left = table(columns, [tuple(r) for r in rows])
     cursor = con.execute(sql)
     right = table([c[0] for c in cursor.description], cursor.fetchall())
     problems = []
@@ -81,18 +81,19 @@ def main() -> None:
         start = time.time()
         try:
             df = build(spark, sf_dir)
+            rows = df.collect()
+            took = time.time() - start
             if name in oracles:
-                t0 = time.time()
-                problems = compare(df, con, oracles[name])
+                problems = compare(df.columns, rows, con, oracles[name])
                 note = "ok" if not problems else "DIFF " + "; ".join(problems)
-                del t0
             else:
-                problems, note = [], f"rows {len(df.collect())}"
+                problems, note = [], f"rows {len(rows)}"
         except Exception as error:
             problems = [str(error)]
+            took = time.time() - start
             note = "ERROR " + "".join(traceback.format_exception_only(error))[:1500]
         bad += bool(problems)
-        print(f"{name:32s} {time.time() - start:6.1f}s {note}", flush=True)
+        print(f"{name:32s} {took:6.1f}s {time.time() - start - took:6.1f}s {note}", flush=True)
     print("failed:", bad)
 
 
