@@ -80,16 +80,12 @@ def tfidf_log2(t) -> DataFrame:
     return _summary(T.tfidf_log2(rows, "doc_id", fit_on=rows.filter(_in_train())))
 
 
-@query("tfidf_stages_agree", "SELECT count(*) AS n, count(*) AS n_agree FROM documents")
-def tfidf_stages_agree(t) -> DataFrame:
-    """The pipeline stages give the same weights as the long form: both are summed up per document."""
+@query("embedding_by_name", f"WITH {_TERMS} SELECT doc_id, 2048 AS n, len(tokens) > 0 AS unit_length FROM words")
+def embedding_by_name(t) -> DataFrame:
     rows = t.documents.select("doc_id", "text")
-    model = T.tfidf_pipeline("text").fit(rows)
-    stages = model.transform(rows).select("doc_id", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).alias("s"))
-    long = T.tfidf(_tokens(t, True), "doc_id").groupBy("doc_id").agg(F.sum("weight").alias("total"))
-    both = stages.join(long, "doc_id", "left")
-    agree = F.abs(F.col("s") - F.coalesce("total", F.lit(0.0))) < 1e-6
-    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(agree).alias("n_agree"))
+    vectors = T.embedding("tfidf hashed", vocabulary=2048).fit(rows).transform(rows).select("doc_id", vector_to_array("features").alias("v"))
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    return vectors.select("doc_id", F.size("v").cast("bigint").alias("n"), (F.abs(length - 1) < 1e-6).alias("unit_length"))
 
 
 _KEPT = "list_filter(string_split(text, '.'), lambda s: length(s) > 5)[1:10]"
@@ -135,12 +131,7 @@ def predict_scores(t) -> DataFrame:
 
 @query("tune_classifier")
 def tune_classifier(t) -> DataFrame:
-    rows = _vectors(t)
-    train = L.label_indexer().fit(rows).transform(rows).select("vec_id", "label", "features", "label_idx")
-    model, settings = L.tune(train, max_iter=5)
-    found = model.transform(train)
-    hit = F.avg((F.col("prediction") == F.col("label_idx")).cast("double"))
-    return found.agg(hit.alias("accuracy")).withColumn("alpha", F.lit(settings["alpha"])).withColumn("tol", F.lit(settings["tol"]))
+    return L.tune(_vectors(t), Pipeline(stages=[]), "vec_id", max_iter=5)[1]
 
 
 @query("label_numbers", "SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx FROM (SELECT DISTINCT unnest(labels) AS label FROM predictions) t", "predictions")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,12 +120,13 @@ def _records(name: str, table: str) -> str:
     return f"{name} AS (SELECT doi, arg_min(r, rank) AS r FROM (SELECT doi, rank, {table} AS r FROM {table} WHERE doi <> '') t GROUP BY doi)"
 
 
+_STEPS = ["author_input", "author_rows", "author_own", "author_pairs", "author_scored", "author_parts", "author_whole",
+          "author_points", "dois", "scored", "asked", "offered", "near", "agreed", "matched"]
+
+
 def _rename(sql: str, prefix: str) -> str:
     """The same common tables under other names, so that a query can use them twice."""
-    for name in ("author_input", "author_rows", "author_own", "author_pairs", "author_scored", "author_parts",
-                 "author_whole", "author_points", "dois", "scored", "asked", "offered", "near", "agreed", "matched"):
-        sql = sql.replace(f"{name} ", f"{prefix}{name} ").replace(f"{name}\n", f"{prefix}{name}\n")
-    return sql
+    return re.sub(rf"\b({'|'.join(_STEPS)})\b", rf"{prefix}\1", sql)
 
 
 _ENRICH = f"""
