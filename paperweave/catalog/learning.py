@@ -63,8 +63,7 @@ def document_frequency(t) -> DataFrame:
     """,
 )
 def tfidf(t) -> DataFrame:
-    rows = _tokens(t, True)
-    return _summary(T.tfidf(rows, "doc_id", fit_on=rows.filter(_in_train())))
+    return _summary(T.tfidf(_tokens(t, True), "doc_id", fit=_in_train()))
 
 
 @query(
@@ -76,8 +75,7 @@ def tfidf(t) -> DataFrame:
     """,
 )
 def tfidf_log2(t) -> DataFrame:
-    rows = _tokens(t, False)
-    return _summary(T.tfidf_log2(rows, "doc_id", fit_on=rows.filter(_in_train())))
+    return _summary(T.tfidf_log2(_tokens(t, False), "doc_id", fit=_in_train()))
 
 
 @query("embedding_by_name", f"WITH {_TERMS} SELECT doc_id, 2048 AS n, len(tokens) > 0 AS unit_length FROM words")

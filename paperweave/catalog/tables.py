@@ -9,12 +9,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperweave.session import spread
+
 GIVEN = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
 
+# Tables with long texts, by key.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 class SparkDialect:
     def h(self, key: str, salt: str, mod: int) -> str:
         return f"cast(conv(substr(md5(concat(cast({key} as string), ':{salt}')), 1, 8), 16, 10) as bigint) % {mod}"
@@ -292,7 +298,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in GIVEN:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(table, TEXT_TABLES[name]) if name in TEXT_TABLES else table
         if name in DERIVED:
             build, needs = DERIVED[name]
             return self.spark.sql(build(SparkDialect()), **{n: getattr(self, n) for n in needs})

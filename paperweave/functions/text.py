@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 from paperweave.constants import STOP_WORDS
 
 # Whitespace as Unicode text processing sees it: the regex class knows only the ASCII part.
-SPACE_CLASS = (
-    r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
+SPACE_CLASS = r"\t-\r\x1C- \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
 def _other_digit_class() -> str:
@@ -111,21 +109,22 @@ def tokens_sql(text: str, stop_words: Sequence[str] = STOP_WORDS) -> str:
     """SQL text: words of ``text`` without marks, digits and stop words, lower-cased, nouns in the singular.
 
     Stop words are compared before lower-casing, so a capitalised one stays. The three endings stand in for
-    a noun dictionary; a dictionary of one's own goes through :func:`lemma_lookup`.
+    a noun dictionary.
     """
     bare = f"regexp_replace({text}, r'[{ASCII_MARKS}{DIGIT_CLASS}]', '')"
     words = f"split({bare}, r'[{SPACE_CLASS}]+')"
     stops = ", ".join(_quoted(w) for w in stop_words)
     keep = f"w <> '' AND w NOT IN ({stops})" if stop_words else "w <> ''"
-    # Endings are cut in the joined string: one pass of compiled code instead of a lambda per word.
-    line = f"lower(array_join(filter({words}, w -> {keep}), ' '))"
+    # only a word that ends in s can have one of the endings
+    singular = "w"
     for pattern, replacement in (
-        (r"([^ ]{2})ies(?= |$)", "$1y"),
-        (r"(ch|sh|ss|x|z)es(?= |$)", "$1"),
-        (r"([^ ]{2}[^suis ])s(?= |$)", "$1"),
+        (r"^(.{2,})ies$", "$1y"),
+        (r"(ch|sh|ss|x|z)es$", "$1"),
+        (r"(..[^suis])s$", "$1"),
     ):
-        line = f"regexp_replace({line}, r'{pattern}', '{replacement}')"
-    return f"filter(split({line}, ' '), w -> w <> '')"
+        singular = f"regexp_replace({singular}, r'{pattern}', '{replacement}')"
+    lowered = f"transform(filter({words}, w -> {keep}), w -> lower(w))"
+    return f"transform({lowered}, w -> CASE WHEN endswith(w, 's') THEN {singular} ELSE w END)"
 
 
 def tokens(c: Column | str, stop_words: Sequence[str] = STOP_WORDS) -> Column:
