@@ -419,7 +419,7 @@ def added_distribution(t) -> DataFrame:
 
 @query("drop_known_doi", "SELECT doc_id FROM new_papers WHERE doi IS NULL OR doi NOT IN (SELECT doi FROM corpus WHERE doi IS NOT NULL)", "new_papers corpus")
 def drop_known_doi(t) -> DataFrame:
-    return J.drop_known_doi(t.new_papers, t.corpus).select("doc_id")
+    return J.drop_known_doi(t.new_papers, t.corpus, "doc_id").select("doc_id")
 
 
 _HALVES = f"halves AS (SELECT categories AS labels, {q.fraction(q.digest(100, 'doc_id'))} < 0.1 AS train FROM corpus)"

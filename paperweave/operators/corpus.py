@@ -17,6 +17,7 @@ from paperweave.operators.distribution import (
 )
 from paperweave.operators.joins import drop_known_doi, labels_absent
 from paperweave.operators.sampling import drop_rare, sample_capped, sample_proportional
+from paperweave.session import landed
 
 
 def concat_corpora(*parts: DataFrame) -> DataFrame:
@@ -46,7 +47,8 @@ def reduce_by_distribution(
     Returns the sample and the distribution (``label, cnt, relevant, quota``). Shares are counted before
     papers with a rare label are left out.
     """
-    ranked = top_labels(label_distribution_multi(df, known, labels), k)
+    # label-sized and read by every step below
+    ranked = landed(top_labels(label_distribution_multi(df, known, labels), k), "label-counts")
     shares = quota(ranked.filter("relevant"), total).select("label", "quota")
     dist = ranked.join(shares, "label", "left").select("label", "cnt", "relevant", "quota")
     kept = drop_rare(df, ranked.filter(~F.col("relevant")).select("label"), key, labels)
@@ -69,9 +71,10 @@ def add_new_data(
     corpus' ``label, quota`` table. Returns the corpus and the ``label, cnt`` distribution, in which new
     labels keep their spaces while rows hold them without.
     """
-    fresh = drop_known_doi(new, corpus)
+    # the new rows are matched with the corpus once; the label table is small
+    fresh = landed(drop_known_doi(new, corpus, key), "new-rows")
     ranked = top_labels(label_distribution_single(fresh), k)
-    absent = labels_absent(ranked, reduced, mapping)
+    absent = landed(labels_absent(ranked, reduced, mapping), "new-labels")
     wanted = absent.filter("relevant").select("label", "cnt")
     unwanted = absent.filter(~F.col("relevant")).select("label", "cnt")
 

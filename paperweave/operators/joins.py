@@ -20,6 +20,7 @@ def lookup_join(
     key: str,
     how: str = "left",
     keys_of: DataFrame | None = None,
+    salt: str | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join ``left`` with ``right``, which has each key once, on the column ``key``.
@@ -29,7 +30,8 @@ def lookup_join(
     their right rows are repeated, one copy per part of the left key. ``keys_of`` may name a cheaper table
     whose ``key`` column holds at least the same keys, so that counting does not repeat earlier joins.
 
-    The part of a row follows from its content, so a task that is run again sends it to the same place.
+    The part of a row follows from its column ``salt`` (all columns, if none is named), so a task that is run
+    again sends it to the same place.
     """
     hot = (
         (left if keys_of is None else keys_of)
@@ -40,7 +42,7 @@ def lookup_join(
     )
     spread = left.join(F.broadcast(hot), key, "left")
     part = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(*left.columns), F.col("_parts").cast("bigint")).cast("int")
+        F.pmod(F.xxhash64(*([salt] if salt else left.columns)), F.col("_parts").cast("bigint")).cast("int")
     )
     spread = spread.withColumn("_part", part).drop("_parts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
@@ -67,7 +69,7 @@ def update_from(
     by_doi = first_by_key(prior, "doi", [order], columns).select("_key", F.col("_row").alias("_by_doi"))
     by_title = first_by_key(prior, "title", [order], columns).select("_key", F.col("_row").alias("_by_title"))
     doi = F.nullif(F.col("doi"), F.lit(""))
-    found = lookup_join(papers.withColumn("_key", doi), by_doi, "_key").drop("_key")
+    found = lookup_join(papers.withColumn("_key", doi), by_doi, "_key", salt=key).drop("_key")
     # the title is asked only where the doi found nothing
     title = F.nullif(F.col("title"), F.lit(""))
     found = lookup_join(
@@ -75,6 +77,7 @@ def update_from(
         by_title,
         "_key",
         keys_of=papers.select(title.alias("_key")),
+        salt=key,
     ).drop("_key")
     chosen = F.coalesce(F.col("_by_doi"), F.col("_by_title"))
     updated = found.withColumn("_hit", chosen).select(
@@ -85,12 +88,12 @@ def update_from(
     return updated.drop("_matched"), updated.filter(~F.col("_matched")).select(key)
 
 
-def drop_known_doi(new: DataFrame, corpus: DataFrame) -> DataFrame:
-    """New rows whose doi the corpus does not hold; a null doi is never known."""
+def drop_known_doi(new: DataFrame, corpus: DataFrame, key: str | None = None) -> DataFrame:
+    """New rows whose doi the corpus does not hold; a null doi is never known. ``key`` names their id, if any."""
     known = corpus.filter(F.col("doi").isNotNull()).select(F.col("doi").alias("_key")).distinct()
     known = known.withColumn("_known", F.lit(True))
     # a left join, not an anti join, so that the balanced lookup serves a hot doi as well
-    joined = lookup_join(new.withColumn("_key", F.col("doi")), known, "_key")
+    joined = lookup_join(new.withColumn("_key", F.col("doi")), known, "_key", salt=key)
     return joined.filter(F.col("_known").isNull()).drop("_key", "_known")
 
 

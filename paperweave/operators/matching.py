@@ -134,7 +134,7 @@ def match_by_title(papers: DataFrame, candidates: DataFrame, rank: str = "rank")
     records = candidates.select(F.col(rank).alias("_rank"), F.struct(*candidates.columns).alias("match"))
     found = by_title.join(records, "_rank").drop("_rank")
     keyed = papers.withColumn("text", F.lower("title"))
-    return lookup_join(keyed, found, "text", keys_of=papers.select(text)).drop("text")
+    return lookup_join(keyed, found, "text", keys_of=papers.select(text), salt="paper_id").drop("text")
 
 
 def _author_point(found: list[str], own: list[str]) -> int:
@@ -195,7 +195,7 @@ def attach_records(papers: DataFrame, records: DataFrame, by_title: bool = True)
     per_doi = with_doi.groupBy(F.col("doi").alias("_doi")).agg(F.min_by(F.struct(*columns), F.col("rank")).alias("match"))
     known = F.coalesce(F.col("doi"), F.lit("")) != ""
     keyed = papers.filter(known).withColumn("_doi", F.col("doi"))
-    by_doi = lookup_join(keyed, per_doi, "_doi").drop("_doi")
+    by_doi = lookup_join(keyed, per_doi, "_doi", salt="paper_id").drop("_doi")
     rest = papers.filter(~known)
     if not by_title:
         return by_doi.unionByName(rest, allowMissingColumns=True)

@@ -23,7 +23,7 @@ def resolve_objects(statements: DataFrame, triples: DataFrame) -> DataFrame:
         .agg(F.min("object").alias("_literal"))
     )
     reference = statements.withColumn("_key", F.when(~F.col("object_is_literal"), F.col("object")))
-    resolved = lookup_join(reference, literals, "_key")
+    resolved = lookup_join(reference, literals, "_key", salt="subject")
     value = F.when(F.col("object_is_literal"), F.col("object")).otherwise(F.col("_literal"))
     return resolved.withColumn("value", value).drop("_key", "_literal")
 
