@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperweave.catalog import sqltext as q
+from paperweave.catalog.labels import _ADDED, _REDUCED
 from paperweave.catalog.registry import query
 from paperweave.functions import text
 from paperweave.functions.hashing import hash_fraction, hash_order
@@ -170,7 +171,28 @@ def run_experiment(t) -> DataFrame:
     return result.scores
 
 
-@query("build_corpus")
+_ON_SAMPLE = _ADDED.replace("FROM corpus WHERE", "FROM base WHERE")
+
+
+@query(
+    "build_corpus",
+    f"""
+    WITH {_REDUCED}, base AS (SELECT c.* FROM corpus c JOIN sample USING (doc_id)), {_ON_SAMPLE},
+    moved AS (
+        SELECT count(*) AS n FROM (
+            SELECT categories FROM base UNION ALL SELECT [categories] FROM capped
+        ) t WHERE len(list_filter(categories, lambda x: x NOT IN ('src3', 'long'))) = 0
+    ),
+    counted AS (
+        SELECT label, quota AS cnt FROM quotas
+        UNION ALL SELECT label, least(cnt, 10) FROM absent WHERE relevant
+        UNION ALL SELECT 'nolabel', coalesce(sum(cnt), 0)::BIGINT FROM absent WHERE NOT relevant
+        UNION ALL SELECT 'nolabel', n FROM moved
+    )
+    SELECT label, sum(cnt)::BIGINT AS cnt FROM counted WHERE label NOT IN ('src3', 'long') GROUP BY label
+    """,
+    "corpus new_papers full_mapping",
+)
 def build_corpus(t) -> DataFrame:
     base = t.corpus.select("doc_id", "title", "abstract", "doi", "categories")
     return E.build_corpus(base, t.new_papers, t.full_mapping, 400, 18, 15, 10, "doc_id", ["src3", "long"])[1]
