@@ -29,9 +29,15 @@ def total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
-def words(text: Column, separator: str = SPACE) -> Column:
-    """The words of a text, in order; a null text has none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{separator}+"), "")
+def words(text: Column) -> Column:
+    """The words of a text, in order; a null text has none.
+
+    Plain replacements and a split at one character take a fraction of the time of a split by a class.
+    """
+    spaced = F.coalesce(text, F.lit(""))
+    for other in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(other), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def remainder(key: Column, by: int) -> Column:

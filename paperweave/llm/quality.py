@@ -21,18 +21,17 @@ MOST_LOST = 30
 MOST_MARKS = 30
 
 SYMBOLS = r"[#*$%&|<>]"
-# punctuation: runs of symbols or of exclamation and question marks
-MARKS = r"[#*$%&<>~^=]+|[!?]{2,}"
-# navigation: separators between the entries of a bar
-BARS = r"[|»›→]"
+# punctuation: runs of symbols or of exclamation and question marks; navigation: the bars between entries
+MARKS = r"[#*$%&<>~^=]+|[!?]{2,}|[|»›→]"
 NAVIGATION = (
     r"^[\x20\x09-\x0D]*(home|menu|main menu|next|next page|previous|previous page|back to top|skip to content|log ?in|sign ?in|sign ?up|"
     r"read more|share this|search|sitemap|contact us|about us)[\x20\x09-\x0D.:!]*$"
 )
-BOILERPLATE = (
-    r"all rights reserved|privacy policy|terms of (use|service)|cookie policy|we use cookies|accept cookies|"
-    r"subscribe to our|sign up for our|click here|enable javascript|lorem ipsum|copyright \(c\)|share on (facebook|twitter)"
-)
+BOILERPLATE = [
+    "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "we use cookies",
+    "accept cookies", "subscribe to our", "sign up for our", "click here", "enable javascript", "lorem ipsum",
+    "copyright (c)", "share on facebook", "share on twitter",
+]
 
 
 def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
@@ -62,17 +61,24 @@ def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
 
     each = F.transform(
         F.sequence(F.lit(0), F.size(tokens) - window),
-        lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(window)]),
+        lambda i: F.xxhash64(F.slice(tokens, i + 1, F.lit(window))),
     )
     return F.when(F.size(tokens) > window, let(each, of_hashes)).otherwise(F.lit(0).cast("bigint"))
 
 
 def line_passes(line: Column, most_marks: int = MOST_MARKS) -> Column:
     """Whether a line is prose: few marks and bars for its words, no navigation, no boilerplate."""
-    n_words = F.size(words(line))
-    low = F.lower(line)
-    marks = F.regexp_count(line, F.lit(MARKS)) + F.regexp_count(line, F.lit(BARS))
-    return (F.lit(100) * marks <= F.lit(most_marks) * n_words) & ~low.rlike(NAVIGATION) & ~low.rlike(BOILERPLATE)
+
+    def plain(low: Column) -> Column:
+        bad = low.rlike(NAVIGATION)
+        for phrase in BOILERPLATE:
+            bad = bad | F.contains(low, F.lit(phrase))
+        return ~bad
+
+    def few(marks: Column) -> Column:
+        return (marks == 0) | (F.lit(100) * marks <= F.lit(most_marks) * F.size(words(line)))
+
+    return let(F.regexp_count(line, F.lit(MARKS)), few) & let(F.lower(line), plain)
 
 
 def quality(
@@ -100,9 +106,8 @@ def quality(
         word_chars = F.char_length(F.array_join(tokens, "")).cast("bigint")
         n_words = F.size(tokens).cast("bigint")
 
-        def settled(repeated: Column, all_chars: Column, left_chars: Column, with_word: Column) -> Column:
+        def settled(repeated: Column, all_chars: Column, lost: Column, with_word: Column) -> Column:
             base_failed = (n_words < least_words) | (100 * repeated > most_repeated * n_words)
-            lost = all_chars - left_chars
             return F.struct(
                 n_words.alias("n_words"),
                 all_chars.alias("word_chars"),
@@ -117,9 +122,12 @@ def quality(
                 (~base_failed & (100 * lost <= most_lost * all_chars)).alias("kept"),
             )
 
+        def lost(all_chars: Column) -> Column:
+            return F.when(F.size(lines) > F.size(passed), all_chars - chars(passed)).otherwise(F.lit(0).cast("bigint"))
+
         return let(
             repeated_words(tokens),
-            lambda r: let(word_chars, lambda c: let(chars(passed), lambda s: let(filled, lambda f: settled(r, c, s, f)))),
+            lambda r: let(word_chars, lambda c: let(lost(c), lambda s: let(filled, lambda f: settled(r, c, s, f)))),
         )
 
     def passes(line: Column) -> Column:

@@ -7,6 +7,10 @@ def _text(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
+def _any(text: str, phrases: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{_text(p)}')" for p in phrases) + ")"
+
+
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
 QUALITY = rf"""
@@ -23,8 +27,8 @@ WITH d AS (
 ), judged AS (
   SELECT r, line, n_words, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars,
     n_words = 0 OR (
-      100 * (len(regexp_extract_all(line, '{_text(q.MARKS)}')) + len(regexp_extract_all(line, '{_text(q.BARS)}'))) <= {q.MOST_MARKS} * n_words
-      AND NOT regexp_matches(lower(line), '{_text(q.NAVIGATION)}') AND NOT regexp_matches(lower(line), '{_text(q.BOILERPLATE)}')
+      100 * len(regexp_extract_all(line, '{_text(q.MARKS)}')) <= {q.MOST_MARKS} * n_words
+      AND NOT regexp_matches(lower(line), '{_text(q.NAVIGATION)}') AND NOT {_any("lower(line)", q.BOILERPLATE)}
     ) AS ok
   FROM lines
 ), per AS (
