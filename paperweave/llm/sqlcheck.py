@@ -1,6 +1,8 @@
 """DuckDB SQL for the rows of the queries."""
 
+from paperweave.llm import licenses as li
 from paperweave.llm import quality as q
+from paperweave.llm import urlfilter as uf
 
 
 def _text(pattern: str) -> str:
@@ -44,3 +46,61 @@ SELECT *, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED}
   NOT (n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words) AND 100 * lost_chars <= {q.MOST_LOST} * word_chars AS kept
 FROM all_counts
 """
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{_text(x)}'" for x in row) + ")" for row in rows)
+
+
+LICENSES = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), phrases(phrase, label) AS (VALUES {_values(li.PHRASES)}),
+templates(t, label, words) AS (
+  SELECT t, label, string_split(txt, ' ') FROM (VALUES {_values([(n, a, b) for n, (a, b) in enumerate(li.TEMPLATES)])}) AS x(t, label, txt)
+), base AS (
+  SELECT r, i - 1 AS i, label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d), phrases
+  WHERE array_to_string(w[i:i + len(string_split(phrase, ' ')) - 1], ' ') = phrase
+), per_base AS (
+  SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS ls FROM base GROUP BY r
+), grams AS (
+  SELECT r, i - 1 AS i, array_to_string(w[i:i + {li.GRAM - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {li.GRAM - 2})) AS i FROM d)
+), places AS (
+  SELECT t, label, len(words) AS n, j - 1 AS j, array_to_string(words[j:j + {li.GRAM - 1}], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(words) - {li.GRAM - 2})) AS j FROM templates)
+), hits AS (SELECT r, t, label, n, i, j, i - j AS diag FROM grams JOIN places USING (g)),
+diags AS (SELECT DISTINCT r, t, diag FROM hits),
+marked AS (SELECT *, coalesce((diag - lag(diag) OVER (PARTITION BY r, t ORDER BY diag) > {li.GAP})::INT, 1) AS new FROM diags),
+spans AS (SELECT r, t, diag, sum(new) OVER (PARTITION BY r, t ORDER BY diag) AS span FROM marked),
+cover AS (
+  SELECT r, t, label, n, span, count(DISTINCT p) / n AS covered
+  FROM (SELECT r, t, label, n, span, unnest(range(j, j + {li.GRAM})) AS p FROM hits JOIN spans USING (r, t, diag)) GROUP BY r, t, label, n, span
+), per AS (
+  SELECT r, max(covered) AS score, coalesce(list(DISTINCT label) FILTER (covered >= {li.LEAST_COVERED}), []) AS ls FROM cover GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  array_to_string(list_sort(coalesce(b.ls, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(per.ls, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN per_base b USING (r) LEFT JOIN per USING (r)
+"""
+
+
+URLS = f"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), u AS (
+  SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM p
+), rules(own, prefix, verdict) AS (VALUES {_values(uf.RULES)}),
+best AS (
+  SELECT r, arg_max(own || prefix, length(own) + length(prefix)) AS rule, arg_max(verdict, length(own) + length(prefix)) AS verdict
+  FROM u JOIN rules ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, prefix) GROUP BY r
+), known AS (
+  SELECT host, bool_or(list_has_any(string_split(replace(host, '-', '.'), '.'), [{", ".join(f"'{w}'" for w in uf.LISTED_WORDS)}])) AS listed FROM u GROUP BY host
+)
+SELECT page_id, u.host AS host, path, rule, coalesce(best.verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
+FROM u JOIN known USING (host) LEFT JOIN best USING (r)
+"""
