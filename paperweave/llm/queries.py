@@ -16,6 +16,7 @@ from paperweave.llm.licenses import scan_licenses
 from paperweave.llm.packing import pack_documents
 from paperweave.llm.quality import with_quality
 from paperweave.llm.secrets import KINDS, with_secrets
+from paperweave.llm.topk import top_k
 from paperweave.llm.urlfilter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,39 +92,21 @@ def byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> Data
     """Ids of every document, and the bytes that decoding them gives back, as digests."""
     with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
         content = file.read()
-    ids = bpe.encode(spark, F.col("text"), content, public_tokenizers.PATTERN)
-    coded = read(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"))
-    back = coded.withColumn("decoded", bpe.decode(spark, F.col("ids"), content, public_tokenizers.PATTERN))
-    return back.select(
-        "doc_id", bpe.token_numbers(F.col("ids")).alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
-
-
-@register("op4_toxicity")
-def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score and class of every document, learned from the labels of four folds out of five.
-
-    A null id belongs to no fold and has no label.
-    """
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    fold = remainder(F.col("doc_id"), 5)
-    labels = read(spark, sf_dir, "labels").filter(fold != 0)
-    model = toxicity.train(docs, labels, toxicity.train_characters(docs))
-    scored = toxicity.with_toxicity(docs, model, into="score")
-    held_out = F.coalesce(fold == 0, F.lit(False)).alias("held_out")
-    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
-
-
-def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Pieces of the documents with their places, the ids as a checksum."""
-    with open(tokenizer or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
-        content = file.read()
-    table = pack_documents(docs, content).table(ids_crc32=F.crc32("ids"))
-    return table.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    coded = bpe.round_trip(spark, F.col("text"), content, public_tokenizers.PATTERN)
+    both = read(spark, sf_dir, "documents").select("doc_id", coded.alias("c"))
+    ids, decoded = F.col("c")["ids"], F.col("c")["decoded"]
+    return both.select(
+        "doc_id", bpe.token_numbers(ids).alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256")
+    )
 
 
 @register("op1_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 ids."""
     return packed(read(spark, sf_dir, "documents"))
+
+
+@register("op2_exact_top_k", sqlcheck.TOP_K)
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other rows of every hundredth vector by integer inner product."""
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)

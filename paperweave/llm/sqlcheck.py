@@ -104,3 +104,17 @@ best AS (
 SELECT page_id, u.host AS host, path, rule, coalesce(best.verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
 FROM u JOIN known USING (host) LEFT JOIN best USING (r)
 """
+
+
+TOP_K = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.r AS q, q.vec_id AS query_id, v.vec_id, v.r,
+    list_sum(list_transform(range(1, len(v.e) + 1), lambda i: q.e[i] * v.e[i]))::BIGINT AS score
+  FROM v AS q JOIN v ON q.r <> v.r WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, r) AS rank FROM scored) WHERE rank <= 10
+"""
