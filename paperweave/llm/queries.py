@@ -12,6 +12,7 @@ from paperweave.llm import sqlcheck, toxicity
 from paperweave.llm import bpe
 from paperweave.llm import language as lang_id
 from paperweave.llm.common import read, remainder
+from paperweave.llm.dedup import near_duplicates
 from paperweave.llm.licenses import scan_licenses
 from paperweave.llm.packing import pack_documents
 from paperweave.llm.quality import with_quality
@@ -110,3 +111,10 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best other rows of every hundredth vector by integer inner product."""
     return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@register("op3_minhash_near_dedup")
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component and verdict of every document at three words a shingle and a similarity of 85 percent."""
+    found = near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
