@@ -19,7 +19,7 @@ from paperweave.operators.nested import explode_labels
 from paperweave.plans import experiment as E
 from paperweave.session import work_path
 from paperweave.sinks.writers import load_model, save_model
-from paperweave.streaming.rate import rate_stream
+from paperweave.streaming.rate import rate_stream, with_open_windows
 from paperweave.streaming.scoring import score_stream
 
 _TRAIN = f"{q.fraction(q.digest(100, 'doc_id'))} < 0.7"
@@ -226,14 +226,13 @@ def _run(t, stream: DataFrame, name: str) -> DataFrame:
         SELECT event_type, (epoch_us(ts) // 60000000 - i) * 60 AS start
         FROM events, range(5) r(i)
     )
-    SELECT start, event_type, count(*) AS in_span, count(*) >= 3 AS over_limit FROM w
-    WHERE (start + 300) * 1000000 <= (SELECT max(epoch_us(ts)) FROM events) // 1000 * 1000 - 600000000
-    GROUP BY start, event_type
+    SELECT start, event_type, count(*) AS in_span, count(*) >= 3 AS over_limit FROM w GROUP BY start, event_type
     """,
 )
 def rate_stream_query(t) -> DataFrame:
     events = _stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = _run(t, rate_stream(events, "event_type", limit=3), "rates")
+    closed = _run(t, rate_stream(events, "event_type", limit=3), "rates")
+    rows = with_open_windows(closed, t.events.withColumn("ts", F.col("ts").cast("timestamp")), "event_type", limit=3)
     return rows.select(F.unix_seconds("start").alias("start"), "event_type", "in_span", "over_limit")
 
 

@@ -92,30 +92,60 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     return leaves.groupBy(F.col("value").alias("name")).agg(F.min("path").alias("ord"))
 
 
+# Subject, predicate, then an identifier, a blank node or a literal with its escapes. Nothing in it is tried twice
+# or matched by recursion, so the length of a literal does not matter.
+_TRIPLE = r'^(?:<([^>]*+)>|(_:\S++))\s++<([^>]*+)>\s++(?:<([^>]*+)>|(_:\S++)|"([^"\\]*+(?:\\.[^"\\]*+)*+)"[^\s"]*+)\s*+\.\s*+(?:#.*)?$'
+
+
+def _statement_lines(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path).select(F.trim("value").alias("line"))
+    return lines.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
+
+
+def _unescaped(literal: Column) -> Column:
+    """The text of a literal: JSON knows all its escapes but the one with eight digits."""
+    # a doubled backslash first, so that what follows it is no escape
+    plain = F.regexp_replace(literal, r"\\\\", r"\\u005C")
+    code = r"\\U([0-9A-Fa-f]{8})"
+
+    def char(digits: Column) -> Column:
+        # up to four digits JSON has an escape, above them the character itself stands in the text
+        return F.when(digits.startswith("0000"), F.concat(F.lit("\\u"), F.substring(digits, 5, 4))).otherwise(
+            F.decode(F.unhex(digits), "UTF-32")
+        )
+
+    codes = F.regexp_extract_all(plain, F.lit(code), F.lit(1))
+    parts = F.transform(F.split(plain, code), lambda part, n: F.concat(part, F.coalesce(char(F.get(codes, n)), F.lit(""))))
+    text = F.when(F.contains(plain, F.lit("\\U")), F.array_join(parts, "")).otherwise(plain)
+    options = {"allowBackslashEscapingAnyCharacter": "true", "allowUnquotedControlChars": "true"}
+    return F.from_json(F.concat(F.lit('{"v":"'), text, F.lit('"}')), "v string", options)["v"]
+
+
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
-    """N-Triples, one statement per line -> subject, predicate, object, object_is_literal."""
-    line = F.trim("value")
-    # subject, predicate, then an identifier, a blank node or a literal with its escapes
-    pattern = r'^(?:<([^>]*)>|(_:\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"\S*)\s*\.\s*(?:#.*)?$'
+    """N-Triples, one statement per line -> subject, predicate, object, object_is_literal.
+
+    Lines that are no statement are left out; :func:`unparsed_triples` has them.
+    """
 
     def part(i: int) -> Column:
-        return F.regexp_extract(line, pattern, i)
-
-    stated = spark.read.text(path).filter(line.rlike(pattern))
-    literal = F.from_json(
-        F.concat(F.lit('{"v":"'), part(6), F.lit('"}')),
-        "v string",
-        {"allowBackslashEscapingAnyCharacter": "true"},
-    )["v"]
-    is_literal = (part(4) == "") & (part(5) == "")
-    return stated.select(
-        F.concat(part(1), part(2)).alias("subject"),
-        part(3).alias("predicate"),
-        F.when(is_literal, literal).otherwise(F.concat(part(4), part(5))).alias("object"),
+        return F.regexp_extract("line", _TRIPLE, i)
+
+    stated = _statement_lines(spark, path).filter(F.col("line").rlike(_TRIPLE))
+    groups = stated.select(*[part(i).alias(f"g{i}") for i in range(1, 7)])
+    is_literal = (F.col("g4") == "") & (F.col("g5") == "")
+    return groups.select(
+        F.concat("g1", "g2").alias("subject"),
+        F.col("g3").alias("predicate"),
+        F.when(is_literal, _unescaped(F.col("g6"))).otherwise(F.concat("g4", "g5")).alias("object"),
         is_literal.alias("object_is_literal"),
     )
 
 
+def unparsed_triples(spark: SparkSession, path: str) -> DataFrame:
+    """``line``: what :func:`read_triples` leaves out, but for blank lines and comments."""
+    return _statement_lines(spark, path).filter(~F.col("line").rlike(_TRIPLE))
+
+
 def read_statement_pages(spark: SparkSession, path: str) -> DataFrame:
     """Landed service pages -> statements; the service gives objects by name, so all are literals."""
     pages = spark.read.schema(PAGE_SCHEMA).json(path)
@@ -213,12 +243,18 @@ def extract_page_metadata(
     fields: list[str] = PAGE_FIELDS,
     html: str = "html",
     keep: tuple[str, ...] = ("page_id",),
+    most_authors: int | None = MOST_AUTHORS,
 ) -> DataFrame:
-    """Title, doi, abstract, publisher, year, the last known field and up to four authors of each page."""
+    """Title, doi, abstract, publisher, year, the last known field and the authors of each page.
+
+    As published only the first ``most_authors`` authors count; ``None`` keeps all of them.
+    """
     patterns = {**PAGE_PATTERNS, **(patterns or {})}
     h = F.col(html)
     known = F.filter(page_fields(h, patterns["field"]), lambda x: x.isin(list(fields)))
-    authors = F.slice(page_fields(h, patterns["author"]), 1, MOST_AUTHORS)
+    authors = page_fields(h, patterns["author"])
+    if most_authors is not None:
+        authors = F.slice(authors, 1, most_authors)
     single = [page_field(h, patterns[c]).alias(c) for c in ("title", "doi", "abstract", "publisher", "year")]
     return pages.select(
         *keep,

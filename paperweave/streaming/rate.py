@@ -37,6 +37,18 @@ def rate_window(
     return kept.withColumn("over_limit", F.col("in_span") >= limit)
 
 
+def _window_counts(events: DataFrame, key: str, ts: str, limit: int, span: int, slide: int) -> DataFrame:
+    window = F.window(F.col(ts), f"{span} seconds", f"{slide} seconds")
+    counts = events.groupBy(window, key).agg(F.count(F.lit(1)).alias("in_span"))
+    return counts.select(
+        F.col("window.start").alias("start"),
+        F.col("window.end").alias("end"),
+        key,
+        "in_span",
+        (F.col("in_span") >= limit).alias("over_limit"),
+    )
+
+
 def rate_stream(
     events: DataFrame,
     key: str,
@@ -46,13 +58,24 @@ def rate_stream(
     slide: int = 60,
     late: str = "10 minutes",
 ) -> DataFrame:
-    """Requests per key and sliding window on a stream; state is dropped behind the watermark."""
-    window = F.window(F.col(ts), f"{span} seconds", f"{slide} seconds")
-    counts = events.withWatermark(ts, late).groupBy(window, key).agg(F.count(F.lit(1)).alias("in_span"))
-    return counts.select(
-        F.col("window.start").alias("start"),
-        F.col("window.end").alias("end"),
-        key,
-        "in_span",
-        (F.col("in_span") >= limit).alias("over_limit"),
-    )
+    """Requests per key and sliding window on a stream; state is dropped behind the watermark.
+
+    A window is given out once the watermark has passed it. When a stream ends, :func:`with_open_windows` adds
+    those that were still open.
+    """
+    return _window_counts(events.withWatermark(ts, late), key, ts, limit, span, slide)
+
+
+def with_open_windows(
+    closed: DataFrame, events: DataFrame, key: str, ts: str = "ts", limit: int = REQUEST_LIMIT, span: int = REQUEST_SPAN_SECONDS, slide: int = 60
+) -> DataFrame:
+    """What a finished stream gave out, and the windows that were open at its end, counted from its events as a table.
+
+    Only events from the last closed window on can lie in an open one, so older ones are not read again.
+    """
+    ended = closed.agg(F.max("start")).scalar()
+    recent = events.filter(ended.isNull() | (F.col(ts) >= ended))
+    open_ = _window_counts(recent, key, ts, limit, span, slide)
+    # a window that starts later is open as a whole; one that starts with the last closed one may miss keys
+    missing = open_.filter(ended.isNull() | (F.col("start") >= ended)).join(closed.select("start", key), ["start", key], "left_anti")
+    return closed.unionByName(missing.select(*closed.columns))

@@ -85,6 +85,15 @@ def test_flatten_nested(spark):
     assert sorted(r.value for r in nested.flatten_nested(df, "id", "doc").collect()) == ["x", "z"]
 
 
+def test_flatten_nested_depth_and_odd_text(spark):
+    deep = '{"a":' * 20_000 + '"x"' + "}" * 20_000
+    rows = [(1, deep), (2, '{"a": 1,}'), (3, None), (4, '{"a": 1.50, "b": [1, {"c": null}], "d": true, "e": "\\u00e9\\"", "f": {}, "g": []}'), (5, '{"a": 1} x'), (6, "[]"), (7, "{")]
+    got = {}
+    for r in nested.flatten_nested(spark.createDataFrame(rows, "id int, doc string"), "id", "doc").collect():
+        got.setdefault(r.id, []).append((r.path if r.id > 1 else None, r.value))
+    assert got == {1: [(None, "x")], 4: [("$/a", "1.5"), ("$/b/1/c", None), ("$/d", "true"), ("$/e", 'é"')]}
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -157,6 +157,29 @@ def test_read_triples(spark, tmp_path):
     ]
 
 
+def test_triples_with_odd_literals(spark, tmp_path):
+    long = r'abc \\ \" ' * 130_000
+    lines = [
+        f'<s> <p> "{long}" .',
+        '<s> <p> "a\tb" .',
+        r'<s> <p> "x \U0001F600 \\U0001F600 \U00000041é" .',
+        "<s> <p> no statement .",
+        '<s> <p> "open .',
+        "",
+    ]
+    (tmp_path / "x.nt").write_text("\n".join(lines))
+    got = [r.object for r in readers.read_triples(spark, str(tmp_path)).collect()]
+    assert got == ['abc \\ " ' * 130_000, "a\tb", "x \U0001F600 \\U0001F600 Aé"]
+    assert sorted(r.line for r in readers.unparsed_triples(spark, str(tmp_path)).collect()) == sorted(lines[3:5])
+
+
+def test_all_authors_of_a_page(spark):
+    html = "".join(f'<span data-selenium-selector="author-list">A{n},</span>' for n in range(6))
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert len(readers.extract_page_metadata(pages).first().author) == 4
+    assert readers.extract_page_metadata(pages, most_authors=None).first().author == [f"A{n}" for n in range(6)]
+
+
 def test_subject_label_stands_in_for_a_title(spark):
     rows = [("s1", "P26", "10.1/1", True, "Name 1"), ("s2", "rdf-schema#label", "Own", True, "Name 2")]
     triples = spark.createDataFrame(rows, "subject string, predicate string, object string, object_is_literal boolean, subject_label string")
