@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import random
+import sys
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -35,35 +37,62 @@ POPULATION, ELITES, CHILDREN = 6, 2, 20
 INJECTED = 0.08
 #: Sequences filled less than this are pooled and packed again.
 POOLED_BELOW = 0.995
-#: Distinct words whose ids a task keeps; beyond it the store starts anew.
-KEPT_WORDS = 300_000
+#: Distinct words, and parts of texts, whose ids a task keeps; beyond it a store starts anew.
+KEPT_WORDS, KEPT_PARTS = 800_000, 400_000
+
+
+class WordIds(dict):
+    """Ids of words, packed as 32-bit numbers, found by the tokenizer when a word is first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        ids = self[word] = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return ids
+
+
+class PartIds(dict):
+    """Ids of the parts of texts between spaces: of the lower-case word, and of the mark that ends it."""
+
+    def __init__(self, words: WordIds):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= KEPT_PARTS:
+            self.clear()
+        low = part if "Σ" in part else part.lower()  # the tokenizer does not know the form at a word's end
+        # after a letter a single full stop or comma is a word of its own
+        if low[-1:] in (".", ",") and low[-2:-1].isalpha():
+            ids = self.words[low[:-1]] + self.words[low[-1]]
+        else:
+            ids = self.words[low]
+        self[part] = ids
+        return ids
 
 
 class WordCoder:
-    """Ids of texts by a tokenizer that drops white space, with a store of the words met so far."""
+    """Ids of texts by a tokenizer that ignores case and drops white space, with a store of what it met so far."""
 
     def __init__(self, content: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(content)
-        self.known: dict[str, bytes] = {}
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise RuntimeError("ids are packed as little-endian 32-bit numbers")
+        self.parts = PartIds(WordIds(Tokenizer.from_str(content)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers.
 
-        No rule of the tokenizer reaches across a space or a line break, so the runs between them are coded by
+        No rule of the tokenizer reaches across a space or a line break, so the parts between them are coded by
         themselves, each once.
         """
-        parts = text.replace("\n", " ").split(" ")
-        fresh = list(set(parts).difference(self.known))
-        if fresh:
-            if len(self.known) > KEPT_WORDS:
-                self.known.clear()
-                fresh = list(set(parts))
-            for word, coded in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                self.known[word] = np.array(coded.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, parts))
+        return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)
