@@ -422,7 +422,7 @@ def drop_known_doi(t) -> DataFrame:
     return J.drop_known_doi(t.new_papers, t.corpus, "doc_id").select("doc_id")
 
 
-_HALVES = f"halves AS (SELECT categories AS labels, {q.fraction(q.digest(100, 'doc_id'))} < 0.1 AS train FROM corpus)"
+_HALVES = f"halves AS (SELECT categories AS labels, {q.fraction(q.digest(100, 'doc_id'))} < 0.01 AS train FROM corpus)"
 
 
 @query(
@@ -434,17 +434,17 @@ _HALVES = f"halves AS (SELECT categories AS labels, {q.fraction(q.digest(100, 'd
     "corpus",
 )
 def uncovered_labels(t) -> DataFrame:
-    drawn = t.corpus.withColumn("train", hash_fraction(hash_order(100, F.col("doc_id"))) < 0.1).withColumnRenamed("categories", "labels")
+    drawn = t.corpus.withColumn("train", hash_fraction(hash_order(100, F.col("doc_id"))) < 0.01).withColumnRenamed("categories", "labels")
     return J.uncovered_labels(drawn.filter("NOT train"), drawn.filter("train"))
 
 
 @query(
     "labels_absent",
-    f"WITH {_DIST}, p AS (SELECT DISTINCT r_name AS label FROM region) SELECT label FROM p WHERE label NOT IN (SELECT dst FROM dist JOIN mapping ON src = label WHERE cnt > 50)",
+    f"WITH {_DIST}, p AS (SELECT DISTINCT r_name AS label FROM region) SELECT label FROM p WHERE label NOT IN (SELECT dst FROM dist JOIN mapping ON src = label WHERE label < 'src12')",
     "corpus mapping",
 )
 def labels_absent(t) -> DataFrame:
-    frequent = D.label_distribution_multi(t.corpus).filter("cnt > 50")
+    frequent = D.label_distribution_multi(t.corpus).filter("label < 'src12'")
     return J.labels_absent(t.region.select(F.col("r_name").alias("label")), frequent, t.mapping)
 
 

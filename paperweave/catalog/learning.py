@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from paperweave.catalog import sqltext as q
 from paperweave.catalog.labels import _ADDED, _REDUCED
 from paperweave.catalog.registry import query
+from paperweave.constants import SGD_ALPHA, TUNE_ALPHA, TUNE_MAX_ITER, TUNE_TOL, TUNE_TRIALS
 from paperweave.functions import text
 from paperweave.functions.hashing import hash_fraction, hash_order
 from paperweave.operators import features as T
@@ -79,47 +81,92 @@ def tfidf_log2(t) -> DataFrame:
     return _summary(T.tfidf_log2(_tokens(t, False), "doc_id", fit=_in_train()))
 
 
-@query("embedding_by_name", f"WITH {_TERMS} SELECT doc_id, 2048 AS n, len(tokens) > 0 AS unit_length FROM words")
+@query(
+    "embedding_by_name",
+    f"""
+    WITH words AS (SELECT doc_id, {q.unigrams(q.tokens('text'))} AS tokens FROM documents), {_COUNTED} df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
+    weighted AS (SELECT doc_id, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0)::DOUBLE AS w FROM tf JOIN df USING (term), n)
+    SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM weighted
+    """,
+)
 def embedding_by_name(t) -> DataFrame:
+    """Every number of every vector, by the term it stands for."""
     rows = t.documents.select("doc_id", "text")
-    vectors = T.embedding("tfidf hashed", vocabulary=2048).fit(rows).transform(rows).select("doc_id", vector_to_array("features").alias("v"))
+    fitted = T.embedding("tfidf", "text").fit(rows)
+    terms = next(s for s in fitted.stages if isinstance(s, CountVectorizerModel)).vocabulary
+    names = t.spark.createDataFrame(list(enumerate(terms)), "indices int, term string")
+    parts = F.unwrap_udt("features")
+    vectors = fitted.transform(rows).select("doc_id", parts["indices"].alias("indices"), parts["values"].alias("values"))
+    each = vectors.select("doc_id", F.inline(F.arrays_zip("indices", "values")))
+    return each.join(names, "indices").select("doc_id", "term", F.round("values", 6).alias("weight"))
+
+
+@query(
+    "embedding_width",
+    f"WITH {_TERMS} SELECT (2 ** ceil(log2(8 * (SELECT count(DISTINCT term) FROM (SELECT unnest(tokens) AS term FROM words) t))))::BIGINT AS width, count(*) AS n FROM words WHERE len(tokens) > 0",
+)
+def embedding_width(t) -> DataFrame:
+    """The hashed form follows the number of terms; every text with terms gets a vector of unit length."""
+    rows = t.documents.select("doc_id", "text")
+    parts = F.unwrap_udt("features")
+    vectors = T.embedding("tfidf hashed").fit(rows).transform(rows).select(parts["size"].cast("bigint").alias("width"), parts["values"].alias("v"))
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    return vectors.select("doc_id", F.size("v").cast("bigint").alias("n"), (F.abs(length - 1) < 1e-6).alias("unit_length"))
+    return vectors.filter(F.abs(length - 1) < 1e-6).groupBy("width").agg(F.count(F.lit(1)).alias("n"))
 
 
 _KEPT = "list_filter(string_split(text, '.'), lambda s: length(s) > 5)[1:10]"
 _N_WORDS = f"len(list_filter(string_split_regex(s, '[{q.SPACE_CLASS}]+'), lambda w: w <> ''))"
 
 
-@query("sentence_vectors", f"SELECT doc_id, 5120 AS n, coalesce(list_sum(list_transform({_KEPT}, lambda s: {_N_WORDS})), 0)::DOUBLE AS words FROM documents")
+@query("sentence_vectors", f"SELECT doc_id, 5120 AS n, list_resize(list_transform({_KEPT}, lambda s: {_N_WORDS}::BIGINT), 10, 0::BIGINT) AS words FROM documents")
 def sentence_vectors(t) -> DataFrame:
+    """Words per sentence slot: a sentence that is lost, moved or not padded shows."""
     vectors = T.sentence_vectors(t.documents.select("doc_id", "text"), "text", 10)
-    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return vectors.select("doc_id", F.size("vector").cast("bigint").alias("n"), total.alias("words"))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.aggregate(F.slice("vector", i * 512 + 1, F.lit(512)), F.lit(0.0), lambda a, x: a + x.cast("double")).cast("bigint"))
+    return vectors.select("doc_id", F.size("vector").cast("bigint").alias("n"), slots.alias("words"))
 
 
 # Classifiers -----------------------------------------------------------------------------------------
 
 
-def _model(max_iter: int = 15):
-    return L.classifier(max_iter=max_iter)
-
-
 def _vectors(t) -> DataFrame:
     return t.embeddings.select("vec_id", F.col("label").cast("string").alias("label"), array_to_vector("embedding").alias("features"))
 
 
 def _embedding_predictions(t) -> DataFrame:
     rows = _vectors(t)
-    model = L.train_classifier(rows.filter(_in_train("vec_id")), Pipeline(stages=[]), "label", _model())
+    model = L.train_classifier(rows.filter(_in_train("vec_id")), Pipeline(stages=[]), "label")
     return L.predict(model, rows.filter(~_in_train("vec_id")), ["vec_id", "label"])
 
 
-@query("train_classifier", f"SELECT vec_id, label::VARCHAR AS label FROM embeddings WHERE NOT ({_TRAIN.replace('doc_id', 'vec_id')})")
+_IN_TRAIN = _TRAIN.replace("doc_id", "vec_id")
+
+
+@query(
+    "train_classifier",
+    f"""
+    SELECT label::VARCHAR AS label, (SELECT count(*) FROM embeddings WHERE {_IN_TRAIN}) AS n, count(*) AS positive, true AS optimal
+    FROM embeddings WHERE {_IN_TRAIN} GROUP BY label
+    """,
+)
 def train_classifier(t) -> DataFrame:
-    """Every test row gets exactly one known label; which one is up to the optimiser."""
-    known = F.col("pred").cast("int").between(0, 9)
-    return _embedding_predictions(t).filter(known).select("vec_id", "label")
+    """Per label: the slope of the training loss at the fitted weights vanishes, computed from the rows anew."""
+    rows = _vectors(t).filter(_in_train("vec_id"))
+    model = L.train_classifier(rows, Pipeline(stages=[]), "label")
+    _, combined, names = model.stages
+    fitted = [(name, [float(x) for x in m.coefficients.toArray()], float(m.intercept)) for name, m in zip(names.getLabels(), combined.models)]
+    weights = t.spark.createDataFrame(fitted, "name string, w array<double>, b double")
+    # one weight row per label, each against every row: labels x rows, as training itself
+    each = rows.select(vector_to_array("features").alias("x"), "label").join(F.broadcast(weights), F.lit(True))
+    margin = F.aggregate(F.zip_with("w", "x", lambda a, c: a * c), F.col("b"), lambda s, v: s + v)
+    miss = 1 / (1 + F.exp(-margin)) - (F.col("label") == F.col("name")).cast("double")
+    missed = each.select("name", "label", "w", miss.alias("miss"), F.posexplode(F.concat("x", F.array(F.lit(1.0)))).alias("k", "xk"))
+    slope = missed.groupBy("name", "k").agg(
+        F.avg(F.col("miss") * F.col("xk")).alias("g"), F.first(F.get("w", F.col("k"))).alias("wk"), F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("label") == F.col("name")).alias("positive"),
+    )
+    steep = F.abs(F.col("g") + SGD_ALPHA * F.coalesce("wk", F.lit(0.0)))
+    return slope.groupBy(F.col("name").alias("label")).agg(F.max("n").alias("n"), F.max("positive").alias("positive"), (F.max(steep) < 1e-3).alias("optimal"))
 
 
 @query("predict_scores")
@@ -128,9 +175,23 @@ def predict_scores(t) -> DataFrame:
     return macro_scores(rows)
 
 
-@query("tune_classifier")
+def _log_uniform(name: str, low: float, high: float, i: str) -> str:
+    place = f"(({i}) + ('0x' || substr(md5('100:{name}:' || ({i})), 1, 8))::BIGINT / 4294967296.0) / {TUNE_TRIALS}"
+    return f"ln({low!r}::DOUBLE) + (ln({high!r}::DOUBLE) - ln({low!r}::DOUBLE)) * {place}"
+
+
+@query(
+    "tune_classifier",
+    f"""
+    SELECT i::INT AS trial, round({_log_uniform("tol", *TUNE_TOL, "i")}, 6) AS log_tol,
+        round({_log_uniform("alpha", *TUNE_ALPHA, f"{TUNE_TRIALS - 1} - i")}, 6) AS log_alpha, true AS is_share
+    FROM range({TUNE_TRIALS}) t(i)
+    """,
+)
 def tune_classifier(t) -> DataFrame:
-    return L.tune(_vectors(t), Pipeline(stages=[]), "vec_id", max_iter=5)[1]
+    trials = L.tune(_vectors(t), Pipeline(stages=[]), "vec_id")[1]
+    share = (F.col("accuracy") > 0) & (F.col("accuracy") <= 1)
+    return trials.select("trial", F.round(F.log("tol"), 6).alias("log_tol"), F.round(F.log("alpha"), 6).alias("log_alpha"), share.alias("is_share"))
 
 
 @query("label_numbers", "SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx FROM (SELECT DISTINCT unnest(labels) AS label FROM predictions) t", "predictions")
@@ -138,26 +199,41 @@ def label_numbers(t) -> DataFrame:
     return L.label_numbers(t.predictions)
 
 
+def _text_classifier():
+    """The published settings with the iterations of the published tuning runs; a thousand take minutes a label here."""
+    return L.classifier(max_iter=TUNE_MAX_ITER)
+
+
 def _text_models(t):
     """Title model and title and abstract model for the language of a paper."""
     rows = t.corpus.select(F.col("doc_id").alias("paper_id"), "title", "abstract", F.col("lang").alias("label"))
     models = []
     for form in ("title", "title_abstract"):
         train = rows.withColumn("text", text.paper_text(F.col("title"), F.col("abstract"), form))
-        models.append(L.train_classifier(train, T.embedding("tfidf hashed", vocabulary=1 << 14), "label", _model(5)))
+        models.append(L.train_classifier(train, T.embedding("tfidf"), "label", _text_classifier()))
     return rows, models
 
 
-@query("batch_predict", "SELECT doc_id AS paper_id, true AS known FROM documents")
+def _mostly_right(t, scored: DataFrame) -> DataFrame:
+    """Per language: its papers, each scored once, and whether four in five got their language."""
+    known = t.documents.select(F.col("doc_id").alias("paper_id"), "lang")
+    right = F.avg((F.col("label") == F.col("lang")).cast("double")) >= 0.8
+    return known.join(scored, "paper_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), right.alias("mostly_right"))
+
+
+_BY_LANGUAGE = "SELECT lang, count(*) AS n, true AS mostly_right FROM documents GROUP BY lang"
+
+
+@query("batch_predict", _BY_LANGUAGE)
 def batch_predict(t) -> DataFrame:
     rows, models = _text_models(t)
-    return L.batch_predict(rows.drop("label"), *models).select("paper_id", F.col("label").isin("en", "fr", "de", "es").alias("known"))
+    return _mostly_right(t, L.batch_predict(rows.drop("label"), *models))
 
 
 @query("save_and_load_model", "SELECT count(*) AS n, count(*) AS n_equal FROM embeddings")
 def save_and_load_model(t) -> DataFrame:
     rows = _vectors(t)
-    model = L.train_classifier(rows, Pipeline(stages=[]), "label", _model(5))
+    model = L.train_classifier(rows, Pipeline(stages=[]), "label")
     path = work_path(t.spark, "model")
     save_model(model, path)
     one = L.predict(model, rows, ["vec_id"])
@@ -167,7 +243,7 @@ def save_and_load_model(t) -> DataFrame:
 
 @query("run_experiment")
 def run_experiment(t) -> DataFrame:
-    result = E.run_experiment(t.corpus, t.full_mapping, "title", "doc_id", "tfidf hashed", _model(5), vocabulary=1 << 14)
+    result = E.run_experiment(t.corpus, t.full_mapping, "title", "doc_id", "tfidf", _text_classifier())
     return result.scores
 
 
@@ -236,12 +312,11 @@ def rate_stream_query(t) -> DataFrame:
     return rows.select(F.unix_seconds("start").alias("start"), "event_type", "in_span", "over_limit")
 
 
-@query("score_stream", "SELECT doc_id AS paper_id, true AS known FROM documents")
+@query("score_stream", _BY_LANGUAGE)
 def score_stream_query(t) -> DataFrame:
     _, models = _text_models(t)
     title = F.regexp_extract("text", r"^[^.\n]*", 0)
     papers = _stream(t, "documents").withColumn("title", title).select(
         F.col("doc_id").alias("paper_id"), "title", F.substring(F.col("text"), F.length("title") + 1, F.length("text")).alias("abstract")
     )
-    rows = _run(t, score_stream(papers, *models), "scored")
-    return rows.select("paper_id", F.col("label").isin("en", "fr", "de", "es").alias("known"))
+    return _mostly_right(t, _run(t, score_stream(papers, *models), "scored").select("paper_id", "label"))

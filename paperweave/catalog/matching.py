@@ -228,7 +228,7 @@ def open_subjects(t) -> DataFrame:
 @query("top_scores", f"WITH {_OPEN} SELECT label, name, score FROM top5 WHERE score >= 90", "subjects taxonomy")
 def top_scores(t) -> DataFrame:
     scored = H.score_labels(H.open_subjects(t.subjects, "crossref_field", t.taxonomy), t.taxonomy, similarity.ratio)
-    return scored.filter("score >= 90").select("label", "name", "score")
+    return scored.select("label", "name", "score")
 
 
 @query("best_match", f"WITH {_OPEN} SELECT src, dst FROM best", "subjects taxonomy")

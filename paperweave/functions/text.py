@@ -163,3 +163,24 @@ def page_fields(html: Column, pattern: str) -> Column:
         F.regexp_extract_all(html, F.lit(pattern), F.lit(1)),
         lambda x: strip(F.regexp_replace(x, "<[^>]*>", "")),
     )
+
+
+def counted(words: Column) -> Column:
+    """``array<struct<term, tf>>``: each distinct word of an array with its number, within the row.
+
+    The array is sorted once and cut where the word changes; no shuffle is needed to count a row's own words.
+    """
+
+    def once(value: Column, body) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def of_sorted(s: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+        def runs(starts: Column) -> Column:
+            length = lambda p, k: (F.coalesce(F.get(starts, k + 1), F.size(s)) - p).cast("bigint")
+            return F.transform(starts, lambda p, k: F.struct(F.get(s, p).alias("term"), length(p, k).alias("tf")))
+
+        return once(places, runs)
+
+    return F.when(F.size(words) > 0, once(F.sort_array(words), of_sorted))

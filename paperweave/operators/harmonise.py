@@ -35,15 +35,18 @@ def _keys(text: Column) -> Column:
     return F.array_distinct(F.concat(words, F.filter(pairs, lambda p: ~p.contains(" ") & (p != ""))))
 
 
-def score_labels(labels: DataFrame, taxonomy: DataFrame, scorer=weighted_ratio, top: int = 5) -> DataFrame:
-    """``label, name, score`` of the ``top`` best names per label; ``taxonomy`` has ``name`` and ``ord``.
+def score_labels(labels: DataFrame, taxonomy: DataFrame, scorer=weighted_ratio, top: int = 5, least: int = ACCEPT_LEAST) -> DataFrame:
+    """``label, name, score`` of the ``top`` best names per label among those that score ``least`` or more.
 
-    Only pairs that share a word or a letter pair are scored, which leaves out none that could reach 90.
+    ``taxonomy`` has ``name`` and ``ord``. Only pairs that share a word or a letter pair are scored; that leaves
+    out none that could reach 90, so a smaller ``least`` is refused.
     """
+    if least < ACCEPT_LEAST:
+        raise ValueError(f"names below {ACCEPT_LEAST} are not all found")
     left = labels.select("label", F.explode(_keys(F.col("label"))).alias("k"))
     right = taxonomy.select("name", "ord", F.explode(_keys(F.col("name"))).alias("k"))
     pairs = left.join(right, "k").select("label", "name", "ord").distinct()
-    scored = pairs.withColumn("score", scorer(F.col("label"), F.col("name")))
+    scored = pairs.withColumn("score", scorer(F.col("label"), F.col("name"))).filter(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.col("score").desc(), "ord"))
     return scored.withColumn("_rank", rank).filter(F.col("_rank") <= top).drop("_rank")
 

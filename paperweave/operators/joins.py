@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperweave.constants import PLACEHOLDER_LABEL
-from paperweave.functions.labels import with_lookup
 
 # A key with more rows than this is spread over several tasks.
 HOT_ROWS = 500_000
@@ -50,12 +49,16 @@ def lookup_join(
     return spread.join(repeated, [key, "_part"], how).drop("_part")
 
 
-def first_by_key(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row per non-empty key, the first in the given order; partial aggregation absorbs hot keys."""
+def first_by_key(df: DataFrame, key: str, order: str, columns: Sequence[str]) -> DataFrame:
+    """``_key, _row``: per non-empty key the row with the smallest ``order``, a number that no two rows share.
+
+    Only keys and numbers are aggregated, which partial aggregation shrinks for hot keys; the rows that win are
+    fetched by their number.
+    """
     usable = df.filter(F.col(key).isNotNull() & (F.col(key) != ""))
-    row = F.struct(*[F.col(c) for c in columns])
-    rank = F.struct(*[F.col(c) for c in order])
-    return usable.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, rank).alias("_row"))
+    first = usable.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
+    rows = usable.select(F.col(order).alias("_first"), F.struct(*[F.col(c) for c in columns]).alias("_row"))
+    return first.join(rows, "_first").select("_key", "_row")
 
 
 def update_from(
@@ -66,8 +69,8 @@ def update_from(
     Returns the updated papers and the ids that found no row.
     """
     columns = list(columns)
-    by_doi = first_by_key(prior, "doi", [order], columns).select("_key", F.col("_row").alias("_by_doi"))
-    by_title = first_by_key(prior, "title", [order], columns).select("_key", F.col("_row").alias("_by_title"))
+    by_doi = first_by_key(prior, "doi", order, columns).select("_key", F.col("_row").alias("_by_doi"))
+    by_title = first_by_key(prior, "title", order, columns).select("_key", F.col("_row").alias("_by_title"))
     doi = F.nullif(F.col("doi"), F.lit(""))
     found = lookup_join(papers.withColumn("_key", doi), by_doi, "_key", salt=key).drop("_key")
     # the title is asked only where the doi found nothing
@@ -98,21 +101,27 @@ def drop_known_doi(new: DataFrame, corpus: DataFrame, key: str | None = None) ->
 
 
 def first_mapped(df: DataFrame, subjects: str, mapping: DataFrame, key: str = "paper_id") -> DataFrame:
-    """``key, mapped``: target of the first subject, in list order, that the ``(src, dst)`` table knows."""
+    """``key, mapped``: target of the first subject, in list order, that the ``(src, dst)`` table knows.
+
+    The table has each ``src`` once. A subject that very many rows name is spread over several tasks.
+    """
     each = df.select(key, F.posexplode(F.col(subjects)).alias("pos", "src"))
-    hits = each.join(mapping.select("src", "dst"), "src")
-    return hits.groupBy(key).agg(F.min_by("dst", "pos").alias("mapped"))
+    hits = lookup_join(each, mapping.select("src", "dst"), "src", how="inner", salt=key)
+    return hits.groupBy(key).agg(F.min(F.struct("pos", "dst")).alias("first")).select(key, F.col("first")["dst"].alias("mapped"))
 
 
 def apply_mapping(
-    df: DataFrame, subjects: Column, mapping: DataFrame, placeholder: str = PLACEHOLDER_LABEL
+    df: DataFrame, subjects: Column, mapping: DataFrame, placeholder: str = PLACEHOLDER_LABEL, key: str = "paper_id"
 ) -> DataFrame:
-    """Give placeholder papers the target of their first known subject in the ``(src, dst)`` table."""
-    mapped = with_lookup(df, mapping)
-    known = F.filter(subjects, lambda x: F.try_element_at(F.col("_map"), x).isNotNull())
-    target = F.try_element_at(F.col("_map"), F.get(known, F.lit(0)))
-    replace = F.when(F.col("label") == placeholder, target)
-    return mapped.withColumn("label", F.coalesce(replace, F.col("label"))).drop("_map")
+    """Give placeholder papers the target of their first known subject in the ``(src, dst)`` table.
+
+    ``key`` names a paper. Only placeholder papers take part in the join, and the subjects travel without the rest.
+    """
+    asked = df.filter(F.col("label") == placeholder).select(key, subjects.alias("_subjects"))
+    found = first_mapped(asked, "_subjects", mapping, key).select(F.col(key).alias("_key"), "mapped")
+    joined = df.join(found, df[key] == F.col("_key"), "left")
+    replace = F.when(F.col("label") == placeholder, F.col("mapped"))
+    return joined.withColumn("label", F.coalesce(replace, F.col("label"))).drop("_key", "mapped")
 
 
 def uncovered_labels(test: DataFrame, train: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.types import IntegerType
 from paperweave.functions.similarity import at_least, score
 from paperweave.functions.text import clean_abstract, normalise_authors
 from paperweave.operators.filters import fill_empty, overwrite
-from paperweave.operators.joins import lookup_join
+from paperweave.operators.joins import first_by_key, lookup_join
 from paperweave.session import landed
 
 TITLE_LEAST = 96  # "above 95" on whole numbers
@@ -95,8 +95,8 @@ def similar_texts(left: DataFrame, right: DataFrame, least: int = TITLE_LEAST) -
     )
     parts = F.ceil(F.col("df") / F.lit(HOT_GRAM)).cast("int")
     chosen = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
-    # at most rows / HOT_GRAM pieces are hot
-    spread = index.join(F.broadcast(hot), ["q", "gram"], "left").withColumn(
+    # few pieces are hot, but their number grows with the texts: the size met at run time decides on the join
+    spread = index.join(hot, ["q", "gram"], "left").withColumn(
         "part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts").cast("bigint")).cast("int"), F.lit(0))
     )
     a, b = chosen.alias("a"), spread.alias("b")
@@ -192,7 +192,8 @@ def attach_records(papers: DataFrame, records: DataFrame, by_title: bool = True)
     columns = [*RECORD_FIELDS, "rank"]
     records = records.select(*columns)
     with_doi = records.filter(F.coalesce(F.col("doi"), F.lit("")) != "")
-    per_doi = with_doi.groupBy(F.col("doi").alias("_doi")).agg(F.min_by(F.struct(*columns), F.col("rank")).alias("match"))
+    # the ranks that win are found first, so no abstract is sorted or sent for a record that does not
+    per_doi = first_by_key(with_doi, "doi", "rank", columns).select(F.col("_key").alias("_doi"), F.col("_row").alias("match"))
     known = F.coalesce(F.col("doi"), F.lit("")) != ""
     keyed = papers.filter(known).withColumn("_doi", F.col("doi"))
     by_doi = lookup_join(keyed, per_doi, "_doi", salt="paper_id").drop("_doi")

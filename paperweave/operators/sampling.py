@@ -68,16 +68,13 @@ def random_split(df: DataFrame, share: float, key: str, labels: str = "labels",
     flags = F.array(*draws)
     in_train = F.get(flags, choice)
     drawn = df.withColumn("_train", in_train)
-    each = drawn.select(F.explode(labels).alias("label"), key, "_train")
-    forced = (
-        each.groupBy("label")
-        .agg(F.max("_train").alias("_any"), F.min(F.struct(hash_order(seeds[0], F.col(key)).alias("h"), F.col(key).alias("k"))).alias("_low"))
-        .filter(~F.col("_any"))
-        .select(F.col("_low.k").alias(key))
-        .distinct()
-        .withColumn("_forced", F.lit(True))
-    )
-    # at most one forced paper per label: label-sized
+    # labels that the chosen seed leaves out, usually none: only their rows are looked at
+    missed = covered.filter(~F.get(F.array(*[F.col(f"_t{i}") for i in range(len(seeds))]), choice)).select("label")
+    each = df.select(F.explode(labels).alias("label"), key).join(landed(missed, "missed-labels"), "label")
+    low = F.min(F.struct(hash_order(seeds[0], F.col(key)).alias("h"), F.col(key).alias("k"))).alias("_low")
+    forced = each.groupBy("label").agg(low).select(F.col("_low.k").alias(key)).distinct().withColumn("_forced", F.lit(True))
+    # at most one forced paper per label, so label-sized, and written: its size is known to the join
+    forced = landed(forced, "forced")
     joined = drawn.join(forced, key, "left")
     train = F.col("_train") | F.coalesce(F.col("_forced"), F.lit(False))
     return joined.withColumn("split", F.when(train, "train").otherwise("test")).drop("_train", "_forced")

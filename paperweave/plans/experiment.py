@@ -75,7 +75,6 @@ def run_experiment(
     key: str,
     embedder: str = "tfidf bigram",
     model: OneVsRest | None = None,
-    vocabulary: int = 1 << 20,
     batch: str | None = None,
     path: str | None = None,
     seed: int = 100,
@@ -84,7 +83,7 @@ def run_experiment(
     rows = landed(prepare(corpus, mapping, experiment, key), "split")
     train = explode_labels(rows.filter("split = 'train'"))
     test = rows.filter("split = 'test'")
-    fitted = train_classifier(train, embedding(embedder, "text", experiment, vocabulary), "label", model)
+    fitted = train_classifier(train, embedding(embedder, "text", experiment), "label", model)
     keep = ["id", "labels", *([batch] if batch else [])]
     predictions = landed(predict(fitted, test, keep), "predicted")
     scores = mean_over_batches(predictions, batch, seed) if batch else macro_scores(predictions, seed)
