@@ -30,9 +30,9 @@ KEPT = 64
 #: Deviations by which an estimate may fall below the similarity: a link is missed once in some 10**9.
 DEVIATIONS = 6.0
 #: Members of a block, and rows that one task compares on average.
-BLOCK, TASK_ROWS = 256, 1024
+BLOCK, TASK_ROWS = 256, 512
 #: Distinct words whose hashes a task keeps; beyond it the store starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _30, _27, _31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -216,11 +216,13 @@ def _rest_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     named = named.join(of_leader, "p", "left").withColumn("left", F.col("label") != F.coalesce("_lead", "p"))
     named = landed(named.select("p", "c", "label", "left"), "group-members")
     blocks = named.groupBy("p").agg(
-        F.ceil(F.count_if("left") / (BLOCK // 2)).cast("int").alias("nu"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("na")
-    )
+        F.count_if("left").alias("n_left"), F.count(F.lit(1)).alias("n_all"),
+        F.ceil(F.count_if("left") / (BLOCK // 2)).cast("int").alias("nu"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("na"),
+    )
     # a single leftover has met its leader, so a group needs one more member
     blocks = landed(blocks.filter("nu > 0"), "rest-blocks")
-    rows = blocks.agg(F.coalesce(F.sum(F.col("nu") * F.col("na")), F.lit(0)).alias("n")).first()["n"] * BLOCK // 16
+    # each leftover meets every block of its group, each member every block of leftovers: so many rows are compared
+    rows = blocks.agg(F.coalesce(F.sum(F.col("n_left") * F.col("na") + F.col("n_all") * F.col("nu")), F.lit(0)).alias("n")).first()["n"]
     open_ = named.join(blocks, "p")
     asking = open_.filter("left").withColumn("u", F.pmod(F.xxhash64("c"), F.col("nu")).cast("int"))
     asking = asking.select("*", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("a"))
