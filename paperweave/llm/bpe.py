@@ -8,7 +8,7 @@ ids with the bytes of their tokens and puts them together in order.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import duckdb
@@ -20,51 +20,52 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct words, and parts of texts, whose ids a task keeps between batches; beyond it the stores start anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 250_000
 #: Words of more bytes than this go through the query that counts runs.
 LONG_WORD = 64
 #: Bytes of distinct words that one recursive query takes.
-BLOCK_BYTES = 1 << 18
+BLOCK_BYTES = 1 << 17
 #: Tokens that one decoding query takes, a longer text being decoded in several.
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 18
 
-# Each word's leftmost pair of least rank is contracted. Where no token that starts or ends with the new one has a
-# smaller rank ("calm"), the next steps would contract the other places of that pair, so they go with it. A pair of
-# equal tokens overlaps itself in runs like aaaa; short words
-# contract those one by one, long words every other one at once.
+# A row's key is its word and its place in one number, so one sort gives every token its neighbour. Each word's
+# leftmost pair of least rank is contracted. Where no token that starts or ends with the new one has a smaller rank
+# ("calm"), the next steps would contract the other places of that pair, so they go with it. A pair of equal tokens
+# overlaps itself in runs like aaaa: there, short words go pair by pair, long ones take every other pair of a run.
 _ENCODE = """
-WITH RECURSIVE state(word, pos, tok, step) AS (
-  SELECT word, pos, tok, 0 FROM start
+WITH RECURSIVE state(key, tok, step) AS (
+  SELECT key, tok, 0 FROM start
   UNION ALL
-  (WITH near AS (
-     SELECT word, pos, tok, step, lead(tok) OVER w AS next, lag(tok) OVER w AS prev, lag(pos) OVER w AS prev_pos{run} FROM state
-     WINDOW w AS (PARTITION BY word ORDER BY pos)
+  (WITH {runs}near AS (
+     SELECT *, lead(tok) OVER w AS next, lead(key) OVER w AS next_key FROM {state} WINDOW w AS (ORDER BY key)
    ), ranked AS (
-     SELECT n.*, m.rank, m.calm, l.rank AS prev_rank, l.calm AS prev_calm, min((m.rank::BIGINT << 32) + pos) OVER (PARTITION BY word) AS low
-     FROM near n LEFT JOIN merges m ON m.a = tok AND m.b = next LEFT JOIN merges l ON l.a = prev AND l.b = tok
-   ), marked AS (
-     SELECT word, pos, tok, step, rank,
-       rank = low >> 32 AND (pos = low & 4294967295 OR calm AND (tok <> next{own})) AS takes,
-       prev_rank = low >> 32 AND (prev_pos = low & 4294967295 OR prev_calm AND (prev <> tok{other})) AS taken
-     FROM ranked WHERE low IS NOT NULL
+     SELECT n.*, m.rank, m.calm FROM near n LEFT JOIN merges m ON m.a = tok AND m.b = next AND key >> 32 = next_key >> 32
+   ), least AS (
+     SELECT key >> 32 AS word, min((rank::BIGINT << 32) + (key & 4294967295)) AS low FROM ranked WHERE rank IS NOT NULL GROUP BY 1
+   ), hits AS (
+     SELECT r.*, coalesce(rank = low >> 32 AND (key & 4294967295 = low & 4294967295 OR calm AND {apart}), false) AS takes
+     FROM ranked r JOIN least ON key >> 32 = word
+   ), gone AS (
+     SELECT next_key AS key FROM hits WHERE takes
    )
-   SELECT word, pos, CASE WHEN takes THEN rank ELSE tok END, step + 1 FROM marked WHERE NOT coalesce(taken, false))
-), last AS (SELECT word, max(step) AS step FROM state GROUP BY word)
-SELECT word, list(tok ORDER BY pos) AS ids FROM state JOIN last USING (word, step) GROUP BY word ORDER BY word
+   SELECT key, CASE WHEN takes THEN rank ELSE tok END, step + 1 FROM hits ANTI JOIN gone USING (key))
+), last AS (
+  SELECT key >> 32 AS word, max(step) AS step FROM state GROUP BY 1
+)
+SELECT word, list(tok ORDER BY key) AS ids FROM state JOIN last ON key >> 32 = word AND state.step = last.step GROUP BY word ORDER BY word
 """
-# short words: nothing, so a run is contracted from the left, one pair a step
-ENCODE = _ENCODE.format(run="", own="", other="")
-# long words: every other pair of a run, counted from the run's first token
-ENCODE_LONG = _ENCODE.replace("FROM state\n", "FROM runs\n").replace(
-    "WITH near AS (",
-    """WITH turns AS (
-     SELECT *, coalesce(tok <> lag(tok) OVER (PARTITION BY word ORDER BY pos), true)::INT AS turn FROM state
+ENCODE = _ENCODE.format(runs="", state="state", apart="tok <> next")
+ENCODE_LONG = _ENCODE.format(
+    runs="""turns AS (
+     SELECT *, coalesce(tok <> lag(tok) OVER w OR key >> 32 <> lag(key) OVER w >> 32, true)::INT AS turn FROM state WINDOW w AS (ORDER BY key)
    ), numbered AS (
-     SELECT *, sum(turn) OVER (PARTITION BY word ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM turns
-   ), runs AS (
-     SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS nth FROM numbered
-   ), near AS (""",
-).format(run=", nth", own=" OR nth % 2 = 1", other=" OR nth % 2 = 0")
+     SELECT *, sum(turn) OVER (ORDER BY key ROWS UNBOUNDED PRECEDING) AS run FROM turns
+   ), counted AS (
+     SELECT *, row_number() OVER (PARTITION BY run ORDER BY key) AS nth FROM numbered
+   ), """,
+    state="counted",
+    apart="(tok <> next OR nth % 2 = 1)",
+)
 
 DECODE = """
 SELECT doc, string_agg(bytes, '' ORDER BY place) AS hex FROM ids JOIN vocabulary USING (tok) GROUP BY doc
@@ -95,7 +96,7 @@ class Coder:
     def __init__(self, content: bytes, pattern: str):
         self.ranks = read_ranks(content)
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "160MB", "preserve_insertion_order": False})
         self.db.execute("SET enable_progress_bar = false")
         merges = merge_table(self.ranks)  # noqa: F841 named in the SQL
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
@@ -133,8 +134,7 @@ class Coder:
         offsets = np.cumsum(lengths) - lengths
         start = pa.table(  # noqa: F841 named in the SQL
             {
-                "word": np.repeat(np.arange(len(block), dtype=np.int32), lengths),
-                "pos": (np.arange(len(codes)) - np.repeat(offsets, lengths)).astype(np.int32),
+                "key": (np.repeat(np.arange(len(block), dtype=np.int64), lengths) << 32) + np.arange(len(codes)) - np.repeat(offsets, lengths),
                 "tok": self.single[codes],
             }
         )
@@ -199,7 +199,7 @@ class Coder:
 
 
 #: Characters that are encoded together.
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 21
 
 
 @lru_cache(maxsize=2)
@@ -221,35 +221,55 @@ def _blocks(batch: pd.Series) -> Iterator[list]:
         yield block
 
 
+def _shared_coder(spark: SparkSession, content: bytes, pattern: str) -> Callable[[], Coder]:
+    shared = spark.sparkContext.broadcast(content)
+    return lambda: coder(shared.value, pattern)
+
+
 def encode(spark: SparkSession, text: Column, content: bytes, pattern: str) -> Column:
     """Column of ids of a text, packed as little-endian unsigned 32-bit numbers; a null text is an empty one.
 
     ``content`` is a rank file of some hundred kilobytes; it is broadcast, whatever the data.
     """
-    shared = spark.sparkContext.broadcast(content)
+    own = _shared_coder(spark, content, pattern)
 
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = coder(shared.value, pattern)
         for batch in batches:
-            yield pd.Series([x for block in _blocks(batch) for x in own.encode([t or "" for t in block])], dtype=object)
+            yield pd.Series([x for block in _blocks(batch) for x in own().encode([t or "" for t in block])], dtype=object)
 
     return ids(text)
 
 
 def decode(spark: SparkSession, packed: Column, content: bytes, pattern: str) -> Column:
     """Column of the bytes that packed ids stand for; null ids give no bytes, unknown ids are left out."""
-    shared = spark.sparkContext.broadcast(content)
+    own = _shared_coder(spark, content, pattern)
 
     @F.pandas_udf("binary")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = coder(shared.value, pattern)
         for batch in batches:
-            yield pd.Series([x for block in _blocks(batch) for x in own.decode([p or b"" for p in block])], dtype=object)
+            yield pd.Series([x for block in _blocks(batch) for x in own().decode([p or b"" for p in block])], dtype=object)
 
     return texts(packed)
 
 
+def round_trip(spark: SparkSession, text: Column, content: bytes, pattern: str) -> Column:
+    """Column of ``struct<ids binary, decoded binary>``: :func:`encode` and :func:`decode` of its ids in one pass."""
+    own = _shared_coder(spark, content, pattern)
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, decoded = [], []
+            for block in _blocks(batch):
+                packed = own().encode([t or "" for t in block])
+                ids += packed
+                decoded += own().decode(packed)
+            yield pd.DataFrame({"ids": ids, "decoded": decoded})
+
+    return both(text)
+
+
 def token_numbers(packed: Column) -> Column:
     """How many ids a packed list holds."""
     return (F.octet_length(packed) / 4).cast("bigint")
