@@ -19,8 +19,8 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct words, and parts of texts, whose ids a task keeps between batches; beyond it the stores start anew.
-KEPT_WORDS = 250_000
+#: Distinct words, and parts of texts, whose ids a task keeps between batches; beyond it a store starts anew.
+KEPT_WORDS, KEPT_PARTS = 600_000, 400_000
 #: Words of more bytes than this go through the query that counts runs.
 LONG_WORD = 64
 #: Bytes of distinct words that one recursive query takes.
@@ -151,8 +151,9 @@ class Coder:
         A text is cut before its single spaces, where no match of the pattern can reach across; parts repeat far
         more often than they are new. White space that a match may reach across is left to the pattern as it is.
         """
-        if len(self.known) > KEPT_WORDS or len(self.parts) > KEPT_WORDS:
+        if len(self.known) > KEPT_WORDS:
             self.known.clear()
+        if len(self.parts) > KEPT_PARTS:
             self.parts.clear()
         cut = [self._parts(text) for text in texts]
         new = {part for parts in cut for part in parts if part not in self.parts}
