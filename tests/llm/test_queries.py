@@ -30,6 +30,10 @@ def docs(con):
     return dict(con.execute("SELECT doc_id, coalesce(text, '') FROM documents ORDER BY doc_id").fetchall())
 
 
+def test_every_operator_is_registered():
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, con, name):
     df = QUERIES[name](spark, SF_DIR)
