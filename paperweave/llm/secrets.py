@@ -1,6 +1,6 @@
 """Secrets in texts: fixed patterns, and strings in sensitive places that a primed compressor finds new.
 
-A candidate near a word like "credential" is compressed by zstandard with a dictionary of the text around it and
+A candidate near a word like "credential" (what reads as words is one only as a value after "=" or ":") is compressed by zstandard with a dictionary of the text around it and
 of common identifiers. What those already hold costs almost nothing; a key drawn at random costs its own length.
 """
 
@@ -30,7 +30,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: Words that make a place sensitive; a candidate stands within REACH characters after one of them.
 CONTEXT = ["password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "auth", "bearer", "credential", "private key", "access key", "signature"]
 REACH = 64
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=~-])[A-Za-z0-9+/_=~-]{16,}")
+LEAST_LENGTH = 16
+#: A run may start after "=", so that the value of KEY=value is one; within a run, "=" parts candidates, or pads the last.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_~-])[A-Za-z0-9+/_=~-]{16,}")
+_PART = re.compile(r"[^=]+(?:=+$)?")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_CONSONANTS = re.compile(r"(?i)[b-df-hj-np-tv-xz]{5}")
 #: Characters on each side of a candidate that prime the compressor.
 AROUND = 2000
 #: Share of its own length that a candidate must cost.
@@ -69,6 +74,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
+def reads_as_words(own: str) -> bool:
+    """Whether a string without digits is made of what may be words: no long run of consonants, capitals only in front."""
+    words = _WORDS.findall(own)
+    return _CONSONANTS.search(own) is None and sum(map(len, words)) >= 3 * len(words)
+
+
+def candidates(run: str, before: str, after: str) -> list[tuple[int, int]]:
+    """Places of the strings of a run that may be keys: its long parts, or the whole run if all parts are short.
+
+    ``before`` and ``after`` are the characters around the run. A string that mixes letters and digits counts anywhere,
+    the value of an assignment always, and any other string unless it is a name before "=", or reads as words.
+    """
+    parts = [(m.start(), m.end()) for m in _PART.finditer(run) if m.end() - m.start() >= LEAST_LENGTH] or [(0, len(run))]
+    out = []
+    for start, end in parts:
+        own = run[start:end]
+        digits, letters = any(c.isdigit() for c in own), any(c.isalpha() for c in own)
+        named = run[end : end + 1] == "=" or (own[-1] == "=" and after != "" and after in "\"'$({")
+        assigned = (before + run[:start]).rstrip(" \"'").endswith(("=", ":"))
+        if (digits and letters) or ((digits or letters) and not named and (assigned or not reads_as_words(own))):
+            out.append((start, end))
+    return out
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float = LEAST_NOVELTY) -> list[tuple[int, int, str]]:
     """Candidates in sensitive places that cost at least ``least`` of their length and touch no span so far."""
     low = text.lower()
@@ -78,17 +107,17 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float = LEA
     done = 0
     taken = sorted(taken)
     for word in _CONTEXT.finditer(low):
-        for m in CANDIDATE.finditer(text, max(done, word.end()), len(text)):
-            if m.start() > word.end() + REACH:
+        for run in RUN.finditer(text, max(done, word.end()), len(text)):
+            if run.start() > word.end() + REACH:
                 break
-            done = m.end()
-            own = m[0]
-            mixed = any(c.isdigit() for c in own) and any(c.isalpha() for c in own)
-            if not mixed or any(a < m.end() and m.start() < b for a, b, _ in taken):
-                continue
-            cost = novelty(own, text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND])
-            if cost >= least:
-                spans.append((m.start(), m.end(), "novel"))
+            done = run.end()
+            for start, end in candidates(run[0], text[max(0, run.start() - 4) : run.start()], text[run.end() : run.end() + 1]):
+                start, end = start + run.start(), end + run.start()
+                if any(a < end and start < b for a, b, _ in taken):
+                    continue
+                cost = novelty(text[start:end], text[max(0, start - AROUND) : start], text[end : end + AROUND])
+                if cost >= least:
+                    spans.append((start, end, "novel"))
     return spans
 
 

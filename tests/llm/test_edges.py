@@ -284,6 +284,20 @@ def test_secret_edges(spark, odd, empty):
     assert secrets.with_secrets(odd, into="kept").count() == len(ODD) and secrets.with_secrets(empty).count() == 0
 
 
+def test_assigned_secrets():
+    letters = "qZvXkWjRbTnMpLsDfHgC"
+    for text in (
+        f"credential={KEY}", f"export AWS_SECRET_ACCESS_KEY={KEY}", f"https://a.b/c?auth={KEY}&x=1", f"pwd='{KEY}'", f"a signature={KEY}==",
+        f"auth by MY_LONG_VARIABLE={KEY}", f"passphrase={letters}", f"credential: {letters.lower()}", f"a bearer {letters}",
+    ):
+        key = letters if letters in text else letters.lower() if letters.lower() in text else KEY
+        found = [text[a:b] for a, b, _ in secrets.find_spans(text)]
+        assert [f.rstrip("=") for f in found] == [key], text
+        assert key not in secrets.redact(text)
+    for text in ("the secret of internationalization", "authors of the state-of-the-art approach", 'a secret MY_LONG_CONNECTION="x"', "token " + "=" * 30):
+        assert secrets.novel_spans(text, []) == [], text
+
+
 def test_novelty_knows_its_surroundings():
     assert secrets.novelty(KEY, "", "") >= secrets.LEAST_NOVELTY
     assert secrets.novelty(KEY, f"as said {KEY}", "") < secrets.LEAST_NOVELTY
