@@ -94,6 +94,18 @@ def test_flatten_nested_depth_and_odd_text(spark):
     assert got == {1: [(None, "x")], 4: [("$/a", "1.5"), ("$/b/1/c", None), ("$/d", "true"), ("$/e", 'é"')]}
 
 
+def test_flatten_nested_bad_escape_beside_good_rows(spark):
+    digits, fraction = "7" * 5000, "0." + "123456789" * 5
+    rows = [
+        (1, r'{"a": "\q"}'), (2, '{"a": "x"}'), (3, r'{"a": "\u12g4"}'), (4, '{"a": "b\nc"}'), (5, r'{"\q": 1}'), (6, f'{{"a": {digits}}}'),
+        (7, f'{{"a": {fraction}, "b": -0.50, "c": 100.0, "d": 1.5e400, "e": 100}}'), (8, r'{"a": "x\ud800y", "b": "\ud83d\ude00"}'), (9, '{"a": "x'),
+    ]
+    got = {}
+    for r in nested.flatten_nested(spark.createDataFrame(rows, "id int, doc string"), "id", "doc").collect():
+        got.setdefault(r.id, []).append(r.value)
+    assert got == {2: ["x"], 6: [digits], 7: [fraction, "-0.5", "100", "1.5e400", "100"], 8: ["x?y", "\U0001f600"]}
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
