@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,15 +89,10 @@ def tfidf_log2(t) -> DataFrame:
     """,
 )
 def embedding_by_name(t) -> DataFrame:
-    """Every number of every vector, by the term it stands for."""
-    rows = t.documents.select("doc_id", "text")
-    fitted = T.embedding("tfidf", "text").fit(rows)
-    terms = next(s for s in fitted.stages if isinstance(s, CountVectorizerModel)).vocabulary
-    names = t.spark.createDataFrame(list(enumerate(terms)), "indices int, term string")
-    parts = F.unwrap_udt("features")
-    vectors = fitted.transform(rows).select("doc_id", parts["indices"].alias("indices"), parts["values"].alias("values"))
-    each = vectors.select("doc_id", F.inline(F.arrays_zip("indices", "values")))
-    return each.join(names, "indices").select("doc_id", "term", F.round("values", 6).alias("weight"))
+    """Every number of the "tfidf" vectors by its term, in long form: no list of the terms leaves Spark's tables."""
+    words = t.documents.select("doc_id", text.tokens("text").alias("words"))
+    weights = T.tfidf(words.select("doc_id", text.terms("words", bigrams=False).alias("tokens")), "doc_id")
+    return weights.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query(

@@ -220,6 +220,19 @@ def test_pipeline_stages_give_the_long_form_weights(spark):
     assert all(abs(stages[k] - long[k]) < 1e-9 for k in long)
 
 
+def test_embedding_query_fits_no_vocabulary(spark, monkeypatch):
+    from check_oracles import DATA
+
+    from paperweave.catalog import QUERIES
+
+    def refused(*_):
+        raise AssertionError("a vocabulary on the driver")
+
+    monkeypatch.setattr(features.CountVectorizer, "fit", refused)
+    rows = QUERIES["embedding_by_name"](spark, f"{DATA}/sf0.001")
+    assert rows.columns == ["doc_id", "term", "weight"] and rows.count() > 0
+
+
 def test_unknown_embedding_is_refused():
     with pytest.raises(ValueError, match="unknown embedding"):
         features.embedding("word2vec")
