@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperweave.llm import sqlcheck, toxicity
-from paperweave.llm import bpe
+from paperweave.llm import bpe, pieces
 from paperweave.llm import language as lang_id
 from paperweave.llm.common import read, remainder
 from paperweave.llm.dedup import near_duplicates
@@ -141,3 +141,15 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component and verdict of every document at three words a shingle and a similarity of 85 percent."""
     found = near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+@register("op13_sentencepiece")
+def sentencepiece_round_trip(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Ids of every document with begin and end, and the text that decoding them gives back, as digests."""
+    with open(model or public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        content = file.read()
+    both = read(spark, sf_dir, "documents").select("doc_id", pieces.round_trip(spark, F.col("text"), content).alias("c"))
+    ids, decoded = F.col("c")["ids"], F.col("c")["decoded"]
+    return both.select(
+        "doc_id", bpe.token_numbers(ids).alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256")
+    )
