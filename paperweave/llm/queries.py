@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperweave.llm import sqlcheck, toxicity
-from paperweave.llm import bpe, pieces
+from paperweave.llm import bpe, conversations, merkle, pieces
 from paperweave.llm import language as lang_id
-from paperweave.llm.common import read, remainder
+from paperweave.llm.common import lower_ascii, read, remainder
 from paperweave.llm.dedup import near_duplicates
 from paperweave.llm.licenses import scan_licenses
 from paperweave.llm.packing import pack_documents
@@ -153,3 +153,29 @@ def sentencepiece_round_trip(spark: SparkSession, sf_dir: str, model: str | None
     return both.select(
         "doc_id", bpe.token_numbers(ids).alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256")
     )
+
+
+@register("op12_merkle_manifest", sqlcheck.MERKLE)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and root of every document, and whether its tampered form still folds to the root."""
+    docs = read(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars"]
+
+    def leaf(text):
+        return merkle.leaf([*map(F.col, fields), text])
+
+    tampered = F.when(remainder(F.col("doc_id"), 5) == 0, leaf(lower_ascii(F.col("text")))).otherwise(F.col("leaf"))
+    rows = docs.select("doc_id", "source", "lang", "n_chars", "text", leaf(F.col("text")).alias("leaf")).withColumn("changed", tampered)
+    made = merkle.manifest(rows, F.col("source"), ["doc_id"], F.col("leaf"), carry=["doc_id", "changed"])
+    root, again = F.lit(made.root), merkle.folded(merkle.as_hex(F.col("changed")), F.col("path"))
+    return made.proofs.select(
+        "doc_id", merkle.as_hex(F.col("leaf")).alias("leaf"), merkle.as_hex(F.col("subroot")).alias("subroot"), root.alias("root"),
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"), again.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@register("op11_conversation_trie", sqlcheck.TRIE)
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie over the rebuilt conversations."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.prefix_trie(conversations.rebuilt(turns))

@@ -118,3 +118,84 @@ WITH v AS (
 SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, r) AS rank FROM scored) WHERE rank <= 10
 """
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII text, bit by bit."""
+    bits = "list_reduce([xor(c, b)] || [0 FOR _ IN range(8)], lambda x, _: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    codes = f"[ascii(ch)::BIGINT FOR ch IN string_split({text}, '')]"
+    return f"xor(4294967295, list_reduce([4294967295::BIGINT] || {codes}, lambda c, b: {bits}))"
+
+
+def _value(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_value, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+_UP = "SELECT tree, lvl + 1, idx // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM {0} WHERE n > 1 GROUP BY tree, lvl, idx // 16, n"
+
+MERKLE = rf"""
+WITH RECURSIVE lowered AS (
+  SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
+), d AS (
+  SELECT doc_id, source, {_leaf("text")} AS leaf, CASE WHEN {_crc32("doc_id::VARCHAR")} % 5 = 0 THEN {_leaf("low")} ELSE {_leaf("text")} END AS changed
+  FROM lowered
+), placed AS (
+  SELECT *, coalesce('=' || source, '') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    count(*) OVER (PARTITION BY source) AS n FROM d
+), low_nodes(tree, lvl, idx, n, h) AS (
+  SELECT tree, 0, idx, n, leaf FROM placed UNION ALL {_UP.format("low_nodes")}
+), subroots AS (
+  SELECT tree, lvl, h, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM low_nodes WHERE n = 1
+), top_nodes(tree, lvl, idx, n, h) AS (
+  SELECT 'top', 0, place, n, h FROM subroots UNION ALL {_UP.format("top_nodes")}
+), runs AS (
+  SELECT tree, lvl, idx // 16 AS run, list(h ORDER BY idx) AS hs FROM (SELECT * FROM low_nodes UNION ALL SELECT * FROM top_nodes) WHERE n > 1 GROUP BY ALL
+), fold(own, pos, tree, lvl, idx, h, proof) AS (
+  SELECT tree, idx, tree, 0, idx, changed, '' FROM placed
+  UNION ALL
+  SELECT f.own, f.pos, coalesce(s.next_tree, f.tree), CASE WHEN s.next_tree IS NULL THEN f.lvl + 1 ELSE 0 END,
+    CASE WHEN s.next_tree IS NULL THEN f.idx // 16 ELSE s.place END,
+    CASE WHEN s.next_tree IS NULL THEN sha256(array_to_string(runs.hs[:f.idx % 16], '') || f.h || array_to_string(runs.hs[f.idx % 16 + 2:], '')) ELSE f.h END,
+    CASE WHEN s.next_tree IS NULL THEN f.proof || array_to_string(runs.hs[:f.idx % 16], '') || array_to_string(runs.hs[f.idx % 16 + 2:], '') ELSE f.proof END
+  FROM fold f LEFT JOIN runs ON runs.tree = f.tree AND runs.lvl = f.lvl AND runs.run = f.idx // 16
+    LEFT JOIN (SELECT tree, lvl, 'top' AS next_tree, place FROM subroots) s ON s.tree = f.tree AND s.lvl = f.lvl
+  WHERE runs.run IS NOT NULL OR s.next_tree IS NOT NULL
+), ended AS (
+  SELECT f.own AS tree, f.pos AS idx, f.h, f.proof FROM fold f JOIN top_nodes t ON t.tree = f.tree AND t.lvl = f.lvl AND t.n = 1
+)
+SELECT doc_id, leaf, subroots.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, ended.h AS folded_root, ended.h = t.h AS verified
+FROM placed JOIN subroots USING (tree) JOIN ended USING (tree, idx) JOIN top_nodes t ON t.n = 1
+"""
+
+TRIE = rf"""
+WITH own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), drawn AS (
+  SELECT *, {_crc32("conv_id::VARCHAR")} % 6 AS h FROM own
+), whole AS (
+  SELECT o.conv_id AS c, coalesce(b.turns[1:o.h], []) || coalesce(o.turns[o.h + 1:], []) AS turns
+  FROM drawn o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100
+), members AS (
+  SELECT c, d, turns[1:d] AS prefix, turns[1:d - 1] AS above, len(turns) = d AS ends FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM whole)
+), nodes AS (
+  SELECT d, prefix, any_value(CASE WHEN d > 0 THEN above END) AS above, min(c) AS c, count(*) AS n,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends
+  FROM members GROUP BY d, prefix
+), kids AS (
+  SELECT above AS prefix, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), own_values AS (
+  SELECT nodes.*, coalesce(kids.n, 0) AS n_children, CASE WHEN nodes.d > 0 THEN (nodes.n - 1) * length(nodes.prefix[nodes.d].text) ELSE 0 END AS saved
+  FROM nodes LEFT JOIN kids ON kids.prefix = nodes.prefix AND kids.d = nodes.d
+), sums AS (
+  SELECT k AS d, prefix[1:k] AS prefix, sum((n_children = 0)::BIGINT) AS leaves, sum(saved) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM own_values) GROUP BY ALL
+)
+SELECT v.c::BIGINT AS conv_id, v.d::BIGINT AS depth, p.c::BIGINT AS parent_conv_id, v.n::BIGINT AS n_convs, v.n_children::BIGINT AS n_children,
+  s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, v.ends AS ends_sha256
+FROM own_values v JOIN sums s ON s.d = v.d AND s.prefix = v.prefix LEFT JOIN nodes p ON v.d > 0 AND p.d = v.d - 1 AND p.prefix = v.above
+"""
