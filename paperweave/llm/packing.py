@@ -17,6 +17,8 @@ from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -39,40 +41,10 @@ INJECTED = 0.08
 POOLED_BELOW = 0.995
 #: Distinct words, and parts of texts, whose ids a task keeps; beyond it a store starts anew.
 KEPT_WORDS, KEPT_PARTS = 800_000, 400_000
-
-
-class WordIds(dict):
-    """Ids of words, packed as 32-bit numbers, found by the tokenizer when a word is first asked for."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        ids = self[word] = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        return ids
-
-
-class PartIds(dict):
-    """Ids of the parts of texts between spaces: of the lower-case word, and of the mark that ends it."""
-
-    def __init__(self, words: WordIds):
-        super().__init__()
-        self.words = words
-
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= KEPT_PARTS:
-            self.clear()
-        low = part if "Σ" in part else part.lower()  # the tokenizer does not know the form at a word's end
-        # after a letter a single full stop or comma is a word of its own
-        if low[-1:] in (".", ",") and low[-2:-1].isalpha():
-            ids = self.words[low[:-1]] + self.words[low[-1]]
-        else:
-            ids = self.words[low]
-        self[part] = ids
-        return ids
+#: Characters of texts that are coded together, and new words that the tokenizer gets in one call.
+BLOCK_CHARS, JOINED_WORDS = 1 << 21, 64
+#: What ends the name of an id that ends a word.
+WORD_END = "</w>"
 
 
 class WordCoder:
@@ -84,15 +56,56 @@ class WordCoder:
 
         if array("I").itemsize != 4 or sys.byteorder != "little":
             raise RuntimeError("ids are packed as little-endian 32-bit numbers")
-        self.parts = PartIds(WordIds(Tokenizer.from_str(content)))
+        self.tokenizer = Tokenizer.from_str(content)
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.ends[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers.
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers.
 
         No rule of the tokenizer reaches across a space or a line break, so the parts between them are coded by
-        themselves, each once.
+        themselves, each once: the lower-case word, and the mark that ends it.
         """
-        return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
+        if len(self.words) > KEPT_WORDS:
+            self.words.clear()
+        if len(self.parts) > KEPT_PARTS:
+            self.parts.clear()
+        cut = [text.replace("\n", " ").split(" ") for text in texts]
+        fresh = {part: self._words_of(part) for part in set(chain.from_iterable(cut)) if part not in self.parts}
+        self._learn(list({word for words in fresh.values() for word in words if word not in self.words}))
+        for part, words in fresh.items():
+            self.parts[part] = b"".join(map(self.words.__getitem__, words))
+        return [b"".join(map(self.parts.__getitem__, parts)) for parts in cut]
+
+    @staticmethod
+    def _words_of(part: str) -> tuple[str, ...]:
+        # the tokenizer does not know the form of a sigma at the end of a word, and takes marks in order before it lowers
+        low = part if "Σ" in part or "İ" in part else part.lower()
+        # after one of these letters a single full stop or comma is a word of its own; others may be taken apart
+        # into a letter and a mark, which holds on to what follows
+        if low[-1:] in (".", ",") and low[-2:-1].isascii() and low[-2:-1].isalpha():
+            return low[:-1], low[-1]
+        return (low,)
+
+    def _learn(self, words: list[str]) -> None:
+        """Words of letters go to the tokenizer many at a time: each gives one id that ends a word, its last."""
+        plain = [w for w in words if w.isalpha() and (w.isascii() or is_normalized("NFC", w))]
+        for k in range(0, len(plain), JOINED_WORDS):
+            own = plain[k : k + JOINED_WORDS]
+            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(own) or cuts[-1] != len(ids):
+                continue  # not as expected: these go one by one
+            flat, at = ids.tobytes(), 0
+            for word, end in zip(own, (4 * cuts).tolist()):
+                self.words[word] = flat[at:end]
+                at = end
+        for word in words:
+            if word not in self.words:
+                self.words[word] = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -108,13 +121,23 @@ def tokenized(docs: DataFrame, content: str, key: str = "doc_id", text: str = "t
     """
     shared = docs.sparkSession.sparkContext.broadcast(content)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def coded(texts: pd.Series) -> Iterator[bytes]:
         coder = word_coder(shared.value)
+        block, size = [], 0
+        for value in texts:
+            block.append(value or "")
+            size += len(block[-1])
+            if size >= BLOCK_CHARS:
+                yield from coder.encode(block)
+                block, size = [], 0
+        yield from coder.encode(block)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = np.uint32(end_id).tobytes()
         for batch in batches:
             keys, pieces, held = [], [], 0
-            for owner, value in zip(batch["_key"].array, batch["_text"]):
-                ids = (coder.encode(value) if value else b"") + end
+            for owner, ids in zip(batch["_key"].array, coded(batch["_text"])):
+                ids += end
                 for at in range(0, len(ids), 4 * capacity):
                     own = ids[at : at + 4 * capacity]
                     keys.append(owner)
