@@ -11,6 +11,8 @@ from paperweave.constants import PLACEHOLDER_LABEL
 
 # A key with more rows than this is spread over several tasks.
 HOT_ROWS = 500_000
+# Rows without a key are dealt over so many parts.
+NULL_PARTS = 1 << 20
 
 
 def lookup_join(
@@ -29,6 +31,8 @@ def lookup_join(
     their right rows are repeated, one copy per part of the left key. ``keys_of`` may name a cheaper table
     whose ``key`` column holds at least the same keys, so that counting does not repeat earlier joins.
 
+    Rows with a null key match nothing and are dealt over all tasks, as most lookups make null keys on purpose.
+
     The part of a row follows from its column ``salt`` (all columns, if none is named), so a task that is run
     again sends it to the same place.
     """
@@ -40,8 +44,13 @@ def lookup_join(
         .select(key, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_parts"))
     )
     spread = left.join(F.broadcast(hot), key, "left")
-    part = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(*([salt] if salt else left.columns)), F.col("_parts").cast("bigint")).cast("int")
+    place = F.xxhash64(*([salt] if salt else left.columns))
+    # a null key matches nothing, so its rows may go anywhere
+    part = (
+        F.when(F.col(key).isNull(), F.pmod(place, F.lit(NULL_PARTS)))
+        .when(F.col("_parts").isNull(), F.lit(0))
+        .otherwise(F.pmod(place, F.col("_parts").cast("bigint")))
+        .cast("int")
     )
     spread = spread.withColumn("_part", part).drop("_parts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
