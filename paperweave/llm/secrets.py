@@ -107,9 +107,9 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float = LEA
     done = 0
     taken = sorted(taken)
     for word in _CONTEXT.finditer(low):
-        for run in RUN.finditer(text, max(done, word.end()), len(text)):
-            if run.start() > word.end() + REACH:
-                break
+        # a run that starts within reach shows its least length before the end of this window
+        while near := RUN.search(text, max(done, word.end()), word.end() + REACH + LEAST_LENGTH):
+            run = RUN.match(text, near.start())
             done = run.end()
             for start, end in candidates(run[0], text[max(0, run.start() - 4) : run.start()], text[run.end() : run.end() + 1]):
                 start, end = start + run.start(), end + run.start()

@@ -40,7 +40,9 @@ LEET = {
 STAND_IN, DROPPED, SHORTENED = 1.0, 3.0, 0.5
 
 WORD = re.compile(r"[^\W\d_]+")
-_ODD = re.compile(r"[^\W\d_][^\s]*[0-9@$!|+€£*._\-][^\s]*[^\W\d_]|[0-9@$!|+€£][^\W\d_]|[^\W\d_][0-9@$|+€£]|([^\W\d_])\1\1")
+_LETTER = re.compile(r"[^\W\d_]")
+_AMID = re.compile(r"[0-9@$!|+€£*._\-]")
+_ODD = re.compile(r"[0-9@$!|+€£][^\W\d_]|[^\W\d_][0-9@$|+€£]|([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*][^\W_]){2,}(?![^\W_])")
 _GAPS = re.compile(r"[ .\-_*]")
 
@@ -141,7 +143,12 @@ def decode(token: str, model: CharacterModel) -> str:
 
 
 def is_odd(token: str) -> bool:
-    return _ODD.search(token) is not None
+    """Whether a token has a stand-in or mark among its letters, or a letter three times in a row."""
+    if _ODD.search(token):
+        return True
+    first = _LETTER.search(token)
+    amid = first and _AMID.search(token, first.end())
+    return bool(amid and _LETTER.search(token, amid.end()))
 
 
 def restore(text: str, model: CharacterModel) -> str:
