@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 from paperweave.catalog import sqltext as q
 from paperweave.catalog.labels import _ADDED, _REDUCED
 from paperweave.catalog.registry import query
-from paperweave.constants import SGD_ALPHA, TUNE_ALPHA, TUNE_MAX_ITER, TUNE_TOL, TUNE_TRIALS
+from paperweave.constants import SGD_ALPHA, TUNE_ALPHA, TUNE_TOL, TUNE_TRIALS
 from paperweave.functions import text
 from paperweave.functions.hashing import hash_fraction, hash_order
 from paperweave.operators import features as T
 from paperweave.operators import learning as L
+from paperweave.operators import linear as N
 from paperweave.operators.metrics import macro_scores
 from paperweave.operators.nested import explode_labels
 from paperweave.plans import experiment as E
-from paperweave.session import work_path
+from paperweave.session import landed, work_path
 from paperweave.sinks.writers import load_model, save_model
 from paperweave.streaming.rate import rate_stream, with_open_windows
-from paperweave.streaming.scoring import score_stream
+from paperweave.streaming.scoring import write_scores
 
 _TRAIN = f"{q.fraction(q.digest(100, 'doc_id'))} < 0.7"
 _UNIGRAMS = f"words AS (SELECT doc_id, {q.tokens('text')} AS tokens FROM documents)"
@@ -163,6 +164,56 @@ def train_classifier(t) -> DataFrame:
     return slope.groupBy(F.col("name").alias("label")).agg(F.max("n").alias("n"), F.max("positive").alias("positive"), (F.max(steep) < 1e-3).alias("optimal"))
 
 
+def _constants(model: N.LinearModel):
+    return F.array(*[F.struct(F.lit(x).alias("name"), F.lit(float(c)).alias("b")) for x, c in zip(model.labels, model.constants)])
+
+
+@query(
+    "train_linear",
+    """
+    SELECT lang AS label, (SELECT count(*) FROM documents WHERE lang IS NOT NULL) AS n, count(*) AS positive, true AS optimal
+    FROM documents WHERE lang IS NOT NULL GROUP BY lang
+    """,
+)
+def train_linear(t) -> DataFrame:
+    """Per label: no slope of the training loss at the weights' table, computed anew by joins, exceeds 1e-4."""
+    rows = t.corpus.select("doc_id", F.col("title").alias("text"), F.col("lang").alias("label")).filter("label IS NOT NULL")
+    model = N.train_text(rows, "doc_id")
+    weights = T.tfidf(N.text_terms(rows, "text", True, ["doc_id"]), "doc_id", "_tokens")
+    labels = F.array(*[F.lit(x) for x in model.labels])
+    each = model.terms.select("term", F.explode(F.arrays_zip(labels.alias("name"), F.col("ws").alias("w"))).alias("x")).select("term", "x.*")
+    part = weights.join(each, "term").groupBy("doc_id", "name").agg(F.sum(F.col("weight") * F.col("w")).alias("part"))
+    # one constant per label: every row against the labels, as training itself
+    whole = rows.select("*", F.inline(_constants(model))).join(part, ["doc_id", "name"], "left")
+    margin = F.col("b") + F.coalesce("part", F.lit(0.0))
+    missed = landed(whole.select("doc_id", "name", "label", (1 / (1 + F.exp(-margin)) - (F.col("label") == F.col("name")).cast("double")).alias("miss")), "missed")
+    size = missed.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("name")).alias("positive"), F.abs(F.avg("miss")).alias("flat"))
+    summed = weights.join(missed, "doc_id").groupBy("term", "name").agg(F.sum(F.col("weight") * F.col("miss")).alias("g"))
+    slope = summed.join(each, ["term", "name"]).join(F.broadcast(size.select("name", "n")), "name")
+    steep = slope.groupBy("name").agg(F.max(F.abs(F.col("g") / F.col("n") + SGD_ALPHA * F.col("w"))).alias("steep"))
+    return size.join(steep, "name").select(F.col("name").alias("label"), "n", "positive", (F.greatest("steep", "flat") < 1e-4).alias("optimal"))
+
+
+@query("linear_scores", "SELECT count(*) AS n, count(*) AS n_equal FROM documents")
+def linear_scores(t) -> DataFrame:
+    """A stored and reloaded model gives every paper the label that its exported weights give by a join per term and label."""
+    rows = t.corpus.select("doc_id", F.col("title").alias("text"), F.col("lang").alias("label"))
+    path = work_path(t.spark, "linear")
+    N.save_linear(N.train_text(rows, "doc_id", bigrams=False), path)
+    model = N.load_linear(t.spark, path)
+    got = N.predict_text(model, rows, "text", ["doc_id"])
+    labels = F.array(*[F.lit(x) for x in model.labels])
+    each = model.terms.select("term", "idf", F.explode(F.arrays_zip(labels.alias("name"), F.col("ws").alias("w"))).alias("x")).select("term", "idf", "x.*")
+    counts = T.term_counts(N.text_terms(rows, "text", False, ["doc_id"]), "doc_id", "_tokens").join(each, "term")
+    x = F.col("tf") * F.col("idf")
+    part = counts.groupBy("doc_id", "name").agg((F.sum(x * F.col("w")) / F.sqrt(F.sum(x * x))).alias("part"))
+    whole = rows.select("doc_id", F.inline(_constants(model))).join(part, ["doc_id", "name"], "left")
+    margin = F.round(F.col("b") + F.coalesce("part", F.lit(0.0)), 9)
+    best = whole.groupBy("doc_id").agg(F.collect_list(F.struct(margin.alias("m"), "name")).alias("all"), F.max(margin).alias("top"))
+    winners = best.select("doc_id", F.filter("all", lambda x: x["m"] >= F.col("top") - 1e-8)["name"].alias("winners"))
+    return winners.join(got, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("winners", F.col("pred"))).alias("n_equal"))
+
+
 @query("predict_scores")
 def predict_scores(t) -> DataFrame:
     rows = _embedding_predictions(t).select(F.col("vec_id").alias("id"), F.array("label").alias("labels"), "pred")
@@ -193,18 +244,13 @@ def label_numbers(t) -> DataFrame:
     return L.label_numbers(t.predictions)
 
 
-def _text_classifier():
-    """The published settings with the iterations of the published tuning runs; a thousand take minutes a label here."""
-    return L.classifier(max_iter=TUNE_MAX_ITER)
-
-
 def _text_models(t):
-    """Title model and title and abstract model for the language of a paper."""
+    """Title model and title and abstract model for the language of a paper, by the published settings."""
     rows = t.corpus.select(F.col("doc_id").alias("paper_id"), "title", "abstract", F.col("lang").alias("label"))
     models = []
     for form in ("title", "title_abstract"):
         train = rows.withColumn("text", text.paper_text(F.col("title"), F.col("abstract"), form))
-        models.append(L.train_classifier(train, T.embedding("tfidf"), "label", _text_classifier()))
+        models.append(N.train_text(train, "paper_id", bigrams=False))
     return rows, models
 
 
@@ -221,7 +267,7 @@ _BY_LANGUAGE = "SELECT lang, count(*) AS n, true AS mostly_right FROM documents
 @query("batch_predict", _BY_LANGUAGE)
 def batch_predict(t) -> DataFrame:
     rows, models = _text_models(t)
-    return _mostly_right(t, L.batch_predict(rows.drop("label"), *models))
+    return _mostly_right(t, N.batch_predict_text(rows.drop("label"), *models))
 
 
 @query("save_and_load_model", "SELECT count(*) AS n, count(*) AS n_equal FROM embeddings")
@@ -237,10 +283,37 @@ def save_and_load_model(t) -> DataFrame:
 
 @query("run_experiment")
 def run_experiment(t) -> DataFrame:
-    result = E.run_experiment(t.corpus, t.full_mapping, "title", "doc_id", "tfidf", _text_classifier())
+    result = E.run_experiment(t.corpus, t.full_mapping, "title", "doc_id", "tfidf")
     return result.scores
 
 
+@query(
+    "experiment_report",
+    """
+    SELECT trim(coalesce(dst, label)) AS label, sum(cnt)::BIGINT AS cnt, string_agg(label, ' ' ORDER BY label) AS codes, true AS in_range,
+        (SELECT count(DISTINCT label) FROM (SELECT unnest(categories) AS label FROM corpus) t WHERE label IN (SELECT src FROM full_mapping)) AS in_distribution,
+        'tfidf' AS embedder, 2 AS n_results
+    FROM (SELECT label, count(*) AS cnt FROM (SELECT unnest(list_distinct(categories)) AS label FROM corpus) t GROUP BY label) d
+    JOIN full_mapping ON label = src GROUP BY 1
+    """,
+    "corpus full_mapping",
+)
+def experiment_report(t) -> DataFrame:
+    """Both text forms with all artefacts, read back: the field table, the stored distribution, scores and settings."""
+    path = work_path(t.spark, "run")
+    E.run_experiments(t.corpus, t.full_mapping, "doc_id", path=path, embedder="tfidf")
+    run = E.read_run(t.spark, path)
+    info = run["meta-info"].select(
+        F.get_json_object("value", "$.setting.embedder").alias("embedder"), F.size(F.json_object_keys(F.get_json_object("value", "$.result"))).alias("n_results")
+    )
+    counts = run["distribution"].select(F.size(F.json_object_keys(F.get_json_object("value", "$.all"))).cast("bigint").alias("in_distribution"))
+    ok = F.col("precision_title").between(0, 1) & F.col("precision_title_abstract").between(0, 1)
+    codes = F.when(F.col("codes") == "-", F.col("label")).otherwise(F.col("codes"))
+    table = run["field-table"].select("label", "cnt", codes.alias("codes"), ok.alias("in_range"))
+    ((embedder, n_results),), ((in_distribution,),) = info.collect(), counts.collect()
+    return table.select("*", F.lit(embedder).alias("embedder"), F.lit(n_results).alias("n_results"), F.lit(in_distribution).alias("in_distribution"))
+
+
 _ON_SAMPLE = _ADDED.replace("FROM corpus WHERE", "FROM base WHERE")
 
 
@@ -313,4 +386,6 @@ def score_stream_query(t) -> DataFrame:
     papers = _stream(t, "documents").withColumn("title", title).select(
         F.col("doc_id").alias("paper_id"), "title", F.substring(F.col("text"), F.length("title") + 1, F.length("text")).alias("abstract")
     )
-    return _mostly_right(t, _run(t, score_stream(papers, *models), "scored").select("paper_id", "label"))
+    out = work_path(t.spark, "scored")
+    write_scores(papers, *models, out, f"{out}-state").awaitTermination()
+    return _mostly_right(t, t.spark.read.parquet(out).select("paper_id", "label"))

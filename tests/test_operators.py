@@ -7,9 +7,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from paperweave.functions.similarity import score
-from paperweave.operators import features, harmonise, joins, matching, metrics, sampling, selection
+from paperweave.operators import features, harmonise, joins, linear, matching, metrics, sampling, selection
 from paperweave.operators.distribution import labels_by_threshold, quota
 from paperweave.operators.triples import scalar_view, statements_by_subject
+from paperweave.plans import experiment
 from paperweave.sources import readers
 from paperweave.streaming.rate import rate_window
 
@@ -242,3 +243,63 @@ def test_sentence_stage(spark):
     df = spark.createDataFrame([("First sentence. Second one here. No",)], "text string")
     row = features.embedding("sentence", experiment="title_abstract").fit(df).transform(df).first()
     assert row.features.size == 5120 and row.features.numNonzeros() >= 4
+
+
+def _linear_rows(spark):
+    """Texts of three labels, some with two labels, some without words or without a label."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(300):
+        label = rng.choice("abc")
+        shared = ["q" + chr(98 + k % 20) + chr(98 + k // 20) for k in range(40)]
+        words = " ".join(rng.choice(shared + [label * 2 + chr(98 + k) for k in range(6)]) for _ in range(rng.randrange(15)))
+        rows += [(i, words, x) for x in {label, rng.choice("abc") if i % 10 == 0 else label}]
+    return spark.createDataFrame([*rows, (900, "qbb", None)], "id long, text string, label string")
+
+
+def test_linear_blocks_and_label_chunks_agree(spark, monkeypatch):
+    """Many small blocks, and labels one at a time, come to the weights' loss of one block that holds everything."""
+    rows = _linear_rows(spark)
+    whole = linear.train_text(rows, "id", bigrams=False, alpha=1e-3)
+    monkeypatch.setattr(linear, "BLOCK_TERMS", 800)
+    blocks = linear.train_text(rows, "id", bigrams=False, alpha=1e-3)
+    assert whole.steps == 0 and blocks.steps > 0 and whole.labels == blocks.labels == ["a", "b", "c"]
+    assert max(abs(a - b) for a, b in zip(whole.loss, blocks.loss)) < 1e-5
+    monkeypatch.setattr(linear, "BLOCK_TERMS", 4_000_000)
+    monkeypatch.setattr(linear, "LABELS_AT_ONCE", 2)
+    chunks = linear.train_text(rows, "id", bigrams=False, alpha=1e-3)
+    own = {r.term: r.ws for r in whole.terms.collect()}
+    assert {r.term for r in chunks.terms.collect()} == set(own)
+    # the constants of labels fitted apart may stop a step apart, so losses are compared
+    assert max(abs(a - b) for a, b in zip(whole.loss, chunks.loss)) < 1e-5
+
+
+def test_linear_scores_and_edges(spark, tmp_path):
+    rows = _linear_rows(spark)
+    model = linear.train_text(rows, "id", bigrams=False, alpha=1e-3)
+    linear.save_linear(model, str(tmp_path / "model"))
+    again = linear.load_linear(spark, str(tmp_path / "model"))
+    new = spark.createDataFrame([(1, None), (2, ""), (3, "zzz unknown"), (4, "aab aac"), (4, "aab aac"), (5, "bbb qbb")], "id long, text string")
+    got = {r.id: r.margins for r in linear.margins(again, new.dropDuplicates(["id"]), "text", ["id"]).collect()}
+    assert got[1] == got[2] == got[3] == pytest.approx(model.constants)
+    assert max(range(3), key=got[4].__getitem__) == 0 and max(range(3), key=got[5].__getitem__) == 1
+    spread = {r.id: r.margins for r in linear.margins(again, new.dropDuplicates(["id"]), "text", ["id"], hot_rows=3).collect()}
+    assert all(spread[i] == pytest.approx(got[i]) for i in got)
+    assert linear.predict_text(model, new.limit(0), "text", ["id"]).count() == 0
+    with pytest.raises(ValueError):
+        linear.train_text(rows.filter("label = 'no such'"), "id")
+
+
+def test_lookup_join_deals_null_keys(spark):
+    left = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id") % 50).alias("k"))
+    right = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    joined = joins.lookup_join(left, right.hint("shuffle_hash"), "k", salt="id", hot_rows=1000)
+    assert joined.count() == 20_000 and joined.filter("v IS NOT NULL").count() == 2000
+    placed = left.withColumn("place", F.xxhash64("id")).filter("k IS NULL").select("k", F.pmod("place", F.lit(joins.NULL_PARTS)).cast("int").alias("part"))
+    sizes = [r["count"] for r in placed.repartition(16, "k", "part").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_unpublished_run_is_an_error(spark, tmp_path):
+    with pytest.raises(ValueError, match="no published run"):
+        experiment.read_run(spark, str(tmp_path / "nothing"))
