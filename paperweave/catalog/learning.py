@@ -21,7 +21,7 @@ from paperweave.operators.nested import explode_labels
 from paperweave.plans import experiment as E
 from paperweave.session import landed, work_path
 from paperweave.sinks.writers import load_model, save_model
-from paperweave.streaming.rate import rate_stream, with_open_windows
+from paperweave.streaming.rate import rate_stream, trailing_stream, with_open_requests, with_open_windows
 from paperweave.streaming.scoring import write_scores
 
 _TRAIN = f"{q.fraction(q.digest(100, 'doc_id'))} < 0.7"
@@ -379,6 +379,23 @@ def rate_stream_query(t) -> DataFrame:
     return rows.select(F.unix_seconds("start").alias("start"), "event_type", "in_span", "over_limit")
 
 
+@query(
+    "rate_trailing_stream",
+    """
+    SELECT event_type, epoch_us(ts) AS micros, count(*) OVER w AS in_span, count(*) OVER w >= 3 AS over_limit FROM events
+    WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 300 SECONDS PRECEDING AND CURRENT ROW)
+    """,
+)
+def rate_trailing_stream(t) -> DataFrame:
+    """The trailing count of every event, most of them given out by the stream itself."""
+    events = _stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    closed = _run(t, trailing_stream(events, "event_type", limit=3), "trailing")
+    if closed.isEmpty():
+        raise ValueError("the stream gave out nothing")
+    rows = with_open_requests(closed, t.events.withColumn("ts", F.col("ts").cast("timestamp")), "event_type", limit=3)
+    return rows.select("event_type", F.unix_micros("ts").alias("micros"), "in_span", "over_limit")
+
+
 @query("score_stream", _BY_LANGUAGE)
 def score_stream_query(t) -> DataFrame:
     _, models = _text_models(t)
