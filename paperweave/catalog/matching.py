@@ -231,6 +231,13 @@ def top_scores(t) -> DataFrame:
     return scored.select("label", "name", "score")
 
 
+@query("top_five", f"WITH {_OPEN} SELECT label, name, score FROM top5", "subjects taxonomy")
+def top_five(t) -> DataFrame:
+    """Five names for every label, also where none is near."""
+    scored = H.score_labels(H.open_subjects(t.subjects, "crossref_field", t.taxonomy), t.taxonomy, similarity.ratio, least=0)
+    return scored.select("label", "name", "score")
+
+
 @query("best_match", f"WITH {_OPEN} SELECT src, dst FROM best", "subjects taxonomy")
 def best_match(t) -> DataFrame:
     scored = H.score_labels(H.open_subjects(t.subjects, "crossref_field", t.taxonomy), t.taxonomy, similarity.ratio)

@@ -39,7 +39,7 @@ def score(a: str, b: str) -> int:
     return int(round(200.0 * _common(a, b) / (len(a) + len(b))))
 
 
-def _words(s: str) -> str:
+def words_of(s: str) -> str:
     return re.sub(r"[^\w]|_", " ", s).lower().strip()
 
 
@@ -60,7 +60,7 @@ def _window_score(a: str, b: str) -> int:
 
 def weighted_score(left: str, right: str) -> int:
     """Weighted best of whole, partial, sorted-word and shared-word comparison."""
-    a, b = _words(left), _words(right)
+    a, b = words_of(left), words_of(right)
     if not a or not b:
         return 0
     long, short = max(len(a), len(b)), min(len(a), len(b))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from paperweave.functions.similarity import score
+from paperweave.functions.similarity import score, weighted_score
 from paperweave.operators import features, harmonise, joins, linear, matching, metrics, sampling, selection
 from paperweave.operators.distribution import labels_by_threshold, quota
 from paperweave.operators.triples import scalar_view, statements_by_subject
@@ -326,3 +326,32 @@ def test_trailing_stream_over_batches(spark, tmp_path):
     assert len(got) > 0.9 * len(rows) and set(got) <= set(expected)
     whole = rate.with_open_requests(closed, events, "key", limit=3).select("key", "ts", "in_span", "over_limit")
     assert sorted(tuple(r) for r in whole.collect()) == expected
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_top_of_block_is_brute_force_with_fewer_scores(weighted):
+    rng = random.Random(11)
+    words = ["science", "computer", "of", "bio", "biology", "physics", "applied", "x", "graph", "äöü", "comp-sci", "sci", "the"]
+    draw = lambda: rng.choice([" ", "  ", "-"]).join(rng.choice(words) for _ in range(rng.randrange(6)))
+    names, labels = sorted({draw() for _ in range(300)}), sorted({draw() for _ in range(100)})
+    order = rng.sample(range(len(names)), len(names))
+    got, tried = harmonise.top_of_block(labels, names, order, 5, weighted)
+    scorer = weighted_score if weighted else score
+    expected = []
+    for label in labels:
+        scored = sorted((-scorer(label, n), o, n) for n, o in zip(names, order))
+        expected += [(label, n, o, -s) for s, o, n in scored[:5]]
+    assert sorted(got) == sorted(expected) and tried < 0.6 * len(labels) * len(names)
+
+
+def test_score_labels_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(harmonise, "NAMES_AT_ONCE", 7)
+    monkeypatch.setattr(harmonise, "LABELS_AT_ONCE", 5)
+    names = [f"name {chr(97 + n % 26)}{n}" for n in range(40)]
+    labels = [f"name {chr(97 + n)}" for n in range(17)]
+    left = spark.createDataFrame([(x,) for x in labels], "label string")
+    right = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "name string, ord long")
+    got = sorted(tuple(r) for r in harmonise.score_labels(left, right, least=0).collect())
+    expected = [(x, n, k, -s) for x in labels for s, k, n in sorted((-weighted_score(x, n), k, n) for k, n in enumerate(names))[:5]]
+    assert got == sorted(expected)
+    assert harmonise.score_labels(left.limit(0), right, least=0).count() == harmonise.score_labels(left, right.limit(0), least=0).count() == 0
