@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperweave.llm.common import let, total
+from paperweave.llm.common import let, lower_ascii, total
 
 GRAM = 3
 #: Diagonals this far apart still belong to one span.
@@ -49,8 +49,8 @@ TEMPLATES = [
 
 
 def license_words(text: Column) -> Column:
-    """Lower-case words of a text. Letters beyond A-Z are lower-cased as well, which moves no word border."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
+    """Words of a text, A-Z lower-cased."""
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
 def _gram(words: Column, at: Column, k: int) -> Column:

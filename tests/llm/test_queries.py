@@ -108,16 +108,16 @@ def test_near_duplicates(spark, docs):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == {i: (len(sets[i]), c, c == i) for i, c in expected.items()}
 
 
-def test_toxicity_held_out(spark, con):
-    labels = dict(con.execute("SELECT doc_id, toxic FROM labels").fetchall())
-    big = os.path.join(DATA, "sf0.01")
+def test_toxicity_held_out(spark):
+    """Of the held-out labelled rows, most toxic ones (some hold no word that tells) are caught and nearly no clean one is."""
+    big = os.path.join(DATA, "sf0.1")
     labels = dict(connect(big).execute("SELECT doc_id, toxic FROM labels").fetchall())
     rows = QUERIES["op4_toxicity"](spark, big).collect()
     assert all(r.held_out == held_out(r.doc_id, 5, 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     own = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
-    right = sum(p == t for p, t in own)
-    assert right >= 0.9 * len(own)
-    assert sum(p == 1 and t == 0 for p, t in own) <= 0.02 * len(own)
+    toxic = [p for p, t in own if t == 1]
+    assert len(toxic) > 50 and sum(toxic) >= 0.85 * len(toxic)
+    assert sum(p for p, t in own if t == 0) <= 0.02 * (len(own) - len(toxic))
 
 
 def test_language_held_out(spark, con):
@@ -174,7 +174,11 @@ def test_pipeline(spark, docs):
             assert set(after) == {i for i, ok in judged.items() if ok}
             assert all(set(t.split("\n")) <= set(texts[i].split("\n")) for i, t in after.items())
         elif name == "toxicity":
-            assert set(after) < set(texts) and len(after) > 0.7 * len(texts)
+            toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").collect() if r.doc_id in texts}
+            clean = [i for i, t in toxic.items() if t == 0]
+            bad = [i for i, t in toxic.items() if t == 1]
+            assert set(after) < set(texts)
+            assert sum(i in after for i in clean) >= 0.95 * len(clean) and sum(i in after for i in bad) <= 0.2 * len(bad)
         elif name == "near copies":
             groups = brute_components(shingle_sets(texts, 5), 80)
             assert set(after) == set(groups.values())
