@@ -164,22 +164,34 @@ def author_score(found: Column, own: Column) -> Column:
 
 
 def match_score(
-    title: Column, found_title: Column, author: Column, found_authors: Column, doi: Column, found_doi: Column
+    title: Column, found_title: Column, author: Column, found_authors: Column, doi: Column, found_doi: Column, short_of: int | None = None
 ) -> Column:
-    """0-3: one point each for title, author and (if both are known) doi."""
+    """0-3: one point each for title, author and (if both are known) doi.
+
+    With ``short_of`` the authors are compared only where the other points are one short of that number, so the score
+    tells whether it is reached and no more.
+    """
     empty = F.lit("")
     title_point = at_least(
         F.lower(F.coalesce(found_title, empty)), F.lower(F.coalesce(title, empty)), TITLE_LEAST
     ).cast("int")
     both = (F.coalesce(doi, empty) != "") & (F.coalesce(found_doi, empty) != "")
     doi_point = F.when(both, at_least(found_doi, doi, TITLE_LEAST).cast("int")).otherwise(F.lit(0))
-    return title_point + author_score(found_authors, F.coalesce(author, empty)) + doi_point
+    others = title_point + doi_point
+    if short_of is None:
+        return others + author_score(found_authors, F.coalesce(author, empty))
+    # no names on either side give no point, so a row that is settled costs the comparison nothing
+    asked = others == short_of - 1
+    return others + author_score(F.when(asked, found_authors), F.when(asked, F.coalesce(author, empty)))
 
 
-def validate_match(df: DataFrame, record: str = "match", level: int = ACCEPT_SCORE) -> DataFrame:
-    """Adds ``score`` and ``valid`` for the paper's own columns against the struct column ``record``."""
+def validate_match(df: DataFrame, record: str = "match", level: int = ACCEPT_SCORE, whole: bool = True) -> DataFrame:
+    """Adds ``score`` and ``valid`` for the paper's own columns against the struct column ``record``.
+
+    Without ``whole`` the author's point is looked at only where it decides on ``valid``.
+    """
     r = F.col(record)
-    points = match_score(F.col("title"), r["title"], F.col("author"), r["authors"], F.col("doi"), r["doi"])
+    points = match_score(F.col("title"), r["title"], F.col("author"), r["authors"], F.col("doi"), r["doi"], None if whole else level)
     scored = df.withColumn("score", F.when(r.isNotNull(), points))
     return scored.withColumn("valid", F.coalesce(F.col("score") >= level, F.lit(False)))
 
@@ -212,7 +224,7 @@ def enrich(papers: DataFrame, first: DataFrame, second: DataFrame, pages: DataFr
     """
     own = papers.columns
     # both branches below go on from here, so the first source is matched once and written
-    found = validate_match(attach_records(papers, first)).withColumn("_rec", F.when(F.col("valid"), F.col("match")))
+    found = validate_match(attach_records(papers, first), whole=False).withColumn("_rec", F.when(F.col("valid"), F.col("match")))
     found = landed(found.select(*own, "_rec", "valid"), "first-source")
     settled = found.filter("valid").withColumn("_from", F.lit(1))
     open_papers = found.filter(~F.col("valid")).select(*own)
@@ -228,7 +240,7 @@ def enrich(papers: DataFrame, first: DataFrame, second: DataFrame, pages: DataFr
     # a page stands in for a record only if neither side has a doi
     record = F.coalesce(F.col("match"), F.col("_page"))
     is_page = F.col("match").isNull() & F.col("_page").isNotNull()
-    checked = validate_match(attached.withColumn("_is_page", is_page).withColumn("match", record))
+    checked = validate_match(attached.withColumn("_is_page", is_page).withColumn("match", record), whole=False)
     rest = checked.withColumn("_rec", F.when(F.col("valid"), F.col("match"))).withColumn(
         "_from", F.when(~F.col("valid"), F.lit(0)).when(F.col("_is_page"), F.lit(3)).otherwise(F.lit(2))
     )
@@ -271,7 +283,7 @@ def enrich_from_pages(papers: DataFrame, pages: DataFrame) -> DataFrame:
     """
     own = papers.columns
     found = doi_from_pages(papers, pages)
-    checked = validate_match(found.withColumn("match", F.col("_page")))
+    checked = validate_match(found.withColumn("match", F.col("_page")), whole=False)
     r, ok = F.col("match"), F.col("valid")
     new = {
         "abstract": overwrite(F.col("abstract"), clean_abstract(r["abstract"]), ok),

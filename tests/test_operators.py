@@ -355,3 +355,18 @@ def test_score_labels_over_blocks(spark, monkeypatch):
     expected = [(x, n, k, -s) for x in labels for s, k, n in sorted((-weighted_score(x, n), k, n) for k, n in enumerate(names))[:5]]
     assert got == sorted(expected)
     assert harmonise.score_labels(left.limit(0), right, least=0).count() == harmonise.score_labels(left, right.limit(0), least=0).count() == 0
+
+
+def test_author_is_asked_only_where_it_decides(spark):
+    """The verdict agrees with that of the whole score for every mix of titles, authors and dois."""
+    rows = [
+        (t, "Some Title", a, f, d, g)
+        for t in ("some title", "another thing entirely") for a, f in (("['Ann Bee']", ["Ann Bee"]), ("['Ann Bee']", ["Zoe Quux"]), (None, None))
+        for d, g in (("10.1/7", "10.1/7"), ("10.1/7", "10.9/1234"), ("", None))
+    ]
+    df = spark.createDataFrame(rows, "title string, t string, author string, a array<string>, doi string, d string")
+    df = df.withColumn("match", F.struct(F.col("t").alias("title"), F.col("a").alias("authors"), F.col("d").alias("doi")))
+    keys = ["title", "author", "a", "doi", "d"]
+    whole = sorted((tuple(map(str, r[:5])), r.valid) for r in matching.validate_match(df).select(*keys, "valid").collect())
+    less = sorted((tuple(map(str, r[:5])), r.valid) for r in matching.validate_match(df, whole=False).select(*keys, "valid").collect())
+    assert whole == less and {v for _, v in whole} == {True, False}
