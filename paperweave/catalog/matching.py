@@ -15,6 +15,7 @@ from paperweave.operators import harmonise as H
 from paperweave.operators import joins as J
 from paperweave.operators import matching as M
 from paperweave.plans import metadata
+from paperweave.session import work_path
 from paperweave.streaming.rate import rate_window
 
 _PRIOR = """
@@ -204,9 +205,49 @@ def enrich_from_pages(t) -> DataFrame:
     return done.select("paper_id", "page_used", "abstract", "publisher", F.array_join("semantic_field", ",").alias("semantic_field"))
 
 
-# Subjects --------------------------------------------------------------------------------------------
+# From statements -------------------------------------------------------------------------------------
 
 _SUBJECTS = "list_transform(string_split(array_to_string({}, ','), ','), lambda x: trim(regexp_replace(x, '[^a-zA-Z ]+', '', 'g')))"
+_LISTED = [f"src{n}" for n in range(0, 20, 2)]
+_FROM_STATEMENTS = f"""
+    WITH loaded AS (SELECT paper_id, {q.clean('title')} AS title, '' AS abstract, author, doi, url, publisher, label FROM papers),
+    read_pages AS (
+        SELECT nullif({q.strip("replace(title, '<', '')")}, '') AS title, list_transform(authors, lambda a: trim(a)) AS authors, doi,
+               CASE WHEN field[1] IN ({', '.join(f"'{x}'" for x in _LISTED)}) THEN field ELSE [] END AS field,
+               publisher, '' AS url, {q.strip("replace(abstract, '<', '')")} AS abstract, rank
+        FROM page_rows
+    ),
+    {re.sub(r'page_rows', 'read_pages', re.sub(r'papers', 'loaded', _ENRICH.strip()[5:]))},
+    subject_rows AS (SELECT paper_id, generate_subscripts(s, 1) AS pos, unnest(s) AS src FROM (SELECT paper_id, {_SUBJECTS.format('r.field')} AS s FROM done WHERE own.label = 'Science' AND enriched_from > 0) t),
+    mapped AS (SELECT paper_id, arg_min(dst, pos) AS dst FROM subject_rows JOIN full_mapping USING (src) GROUP BY paper_id)
+    SELECT 'http://data.test/resource/P' || paper_id AS paper_id, own.title AS title,
+           CASE WHEN enriched_from > 0 THEN {q.clean('r.abstract')} ELSE own.abstract END AS abstract,
+           CASE WHEN enriched_from = 1 THEN array_to_string(r.field, ',') ELSE '' END AS crossref_field,
+           CASE WHEN enriched_from >= 2 THEN array_to_string(r.field, ',') ELSE '' END AS semantic_field,
+           CASE WHEN enriched_from > 0 AND own.publisher = '' THEN r.publisher ELSE own.publisher END AS publisher,
+           CASE WHEN enriched_from IN (1, 2) AND own.doi = '' THEN r.doi ELSE own.doi END AS doi,
+           CASE WHEN enriched_from IN (1, 2) AND own.url = '' THEN r.url ELSE own.url END AS url,
+           CASE WHEN own.label = 'Science' AND dst IS NOT NULL THEN dst ELSE own.label END AS label
+    FROM done LEFT JOIN mapped USING (paper_id)
+"""
+
+
+@query("metadata_from_statements", _FROM_STATEMENTS, "papers first_records second_records page_rows full_mapping")
+def metadata_from_statements(t) -> DataFrame:
+    """Two runs over statements, services and stored pages: the pages come with the second run."""
+    path = work_path(t.spark, "metadata")
+    reviewed = {c: t.full_mapping for c in ("crossref_field", "semantic_field")}
+    done = None
+    for pages in (None, t.stored_pages):
+        done = metadata.run_metadata(
+            t.spark, lambda spark: t.paper_triples, t.first_records, t.second_records, pages, t.taxonomy, path, reviewed, fields=_LISTED
+        )
+    lists = [F.array_join(c, ",").alias(c) for c in ("crossref_field", "semantic_field")]
+    return done.papers.select("paper_id", "title", "abstract", *lists, "publisher", "doi", "url", "label")
+
+
+# Subjects --------------------------------------------------------------------------------------------
+
 _OPEN = f"""
     subject_rows AS (SELECT paper_id, generate_subscripts(s, 1) AS pos, unnest(s) AS label FROM (SELECT paper_id, {_SUBJECTS.format('crossref_field')} AS s FROM subjects WHERE label = 'Science') t),
     exact AS (SELECT paper_id, min(pos) AS first FROM subject_rows WHERE label IN (SELECT name FROM taxonomy) GROUP BY paper_id),

@@ -38,8 +38,8 @@ def statements_by_predicate(t) -> DataFrame:
 
 @query("statements_by_subject", f"WITH {_VALUES}, wide AS (SELECT paper, {_ROWS} FROM vals GROUP BY paper) SELECT paper, {_JOINED} FROM wide", "triples")
 def statements_by_subject(t) -> DataFrame:
-    papers = T.statements_by_predicate(t.triples, FIELD_PREDICATE).select("paper")
-    wide = T.statements_by_subject(t.triples, papers)
+    store = T.land_statements(t.triples, [FIELD_PREDICATE, *PAPER_PREDICATES])
+    wide = store.by_subject(store.by_predicate(FIELD_PREDICATE))
     return wide.select("paper", *[F.array_join(c, "|").alias(c) for c in PAPER_PREDICATES.values()])
 
 
@@ -54,8 +54,8 @@ def statements_by_subject(t) -> DataFrame:
     "triples",
 )
 def collapse_values(t) -> DataFrame:
-    papers = T.statements_by_predicate(t.triples, FIELD_PREDICATE).select("paper")
-    wide = T.statements_by_subject(t.triples, papers)
+    store = T.land_statements(t.triples, [FIELD_PREDICATE, *PAPER_PREDICATES])
+    wide = store.by_subject(store.by_predicate(FIELD_PREDICATE))
     return wide.select("paper", *[T.scalar_view(F.col(c)).alias(c) for c in ("author", "url")])
 
 

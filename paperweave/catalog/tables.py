@@ -249,6 +249,40 @@ def triples(d) -> str:
     )
 
 
+def paper_triples(d) -> str:
+    """The papers as statements; their labels are nodes with names of their own."""
+    node, base = "'http://data.test/resource/", "'http://data.test/predicate/"
+    name = "'http://www.w3.org/2000/01/rdf-schema#label'"
+    subject = f"{node}P' || paper_id"
+
+    def literal(predicate: str, obj: str, where: str = "") -> str:
+        return f"SELECT {subject} AS subject, {predicate} AS predicate, {obj} AS object, true AS object_is_literal FROM {d.table('papers')} {where}"
+
+    values = {"P26": "doi", "P27": "author", "HAS_VENUE": "publisher", "url": "url"}
+    return "\nUNION ALL ".join(
+        [
+            f"SELECT {subject} AS subject, {base}P30' AS predicate, {node}F-' || label AS object, false AS object_is_literal FROM {d.table('papers')}",
+            f"SELECT DISTINCT {node}F-' || label AS subject, {name} AS predicate, label AS object, true AS object_is_literal FROM {d.table('papers')}",
+            literal(name, "title"),
+            literal(base + "P29'", "cast(publication_year AS varchar(9))"),
+            *[literal(f"{base}{p}'", c, f"WHERE {c} <> ''") for p, c in values.items()],
+        ]
+    )
+
+
+def stored_pages(d) -> str:
+    """Web pages that hold the page records, with marks around their parts."""
+    spark = isinstance(d, SparkDialect)
+    mark = '<span data-selenium-selector="author-list">'
+    listed = f"CASE WHEN {'size' if spark else 'len'}(authors) > 0 THEN '{mark}' || {'array_join' if spark else 'array_to_string'}(authors, ',</span>{mark}') || ',</span>' ELSE '' END"
+    return f"""
+    SELECT rank AS page_id, '<html><h1 data-x="1">' || replace(title, '<', '') || '</h1><a class="doi__link" href="#">' || doi ||
+           '</a><span class="abstract__text">' || replace(abstract, '<', '') || '</span><span data-heap-id="paper-meta-journal">' || publisher ||
+           '</span><li class="paper-meta-item">' || field_name || '</li>' || {listed} || '</html>' AS html
+    FROM (SELECT *, {'field[0]' if spark else 'field[1]'} AS field_name FROM {d.table('page_rows')}) r
+    """
+
+
 def predictions(d) -> str:
     """Papers with their labels and one guessed label."""
     return f"""
@@ -284,6 +318,8 @@ DERIVED = {
     "subjects": (subjects, ["papers", "part"]),
     "taxonomy": (taxonomy, ["part"]),
     "part_documents": (part_documents, ["part"]),
+    "paper_triples": (paper_triples, ["papers"]),
+    "stored_pages": (stored_pages, ["page_rows"]),
     "triples": (triples, ["customer", "orders", "nation", "region"]),
     "predictions": (predictions, ["corpus"]),
     "new_papers": (new_papers, ["corpus"]),
