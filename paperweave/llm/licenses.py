@@ -1,8 +1,8 @@
 """License notices by diagonal voting: word k-grams of texts joined with template positions, column operations only.
 
 Every k-gram of every text is looked up among the template k-grams. A hit votes for its diagonal, the place in
-the text minus the place in the template; neighbouring diagonals are one span with words added or left out. A
-span counts as its template if enough template words stand in it.
+the text minus the place in the template; diagonals near one another are one span with some words added or left
+out. A span counts as its template if enough template words stand in it in the template's order.
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperweave.llm.common import let, lower_ascii, total
+from paperweave.llm.common import let, lower_ascii
 
 GRAM = 3
-#: Diagonals this far apart still belong to one span.
-GAP = 4
+#: Diagonals of one span lie this far apart at most: so many words may be added or left out in all of it.
+DRIFT = 8
 #: Share of a template's words that a span must hold.
 LEAST_COVERED = 0.6
 
@@ -102,6 +102,21 @@ def _base(docs: DataFrame, phrases: list[tuple[str, str]]) -> DataFrame:
     )
 
 
+def _ordered(hits: Column, k: int) -> Column:
+    """Template words in the longest chain of k-grams that ascends in both places; hits are ``i, -j``, sorted.
+
+    Equal text places come with the later template place first, so a chain has one hit of each.
+    """
+
+    def longer(chains: Column, hit: Column) -> Column:
+        at = -hit["j"]
+        before = F.transform(F.filter(chains, lambda c: c["j"] < at), lambda c: c["n"] + F.least(F.lit(k), at - c["j"]))
+        return F.concat(chains, F.array(F.struct(at.alias("j"), F.coalesce(F.array_max(before), F.lit(k)).alias("n"))))
+
+    found = F.aggregate(hits, F.array().cast("array<struct<j:int,n:int>>"), longer)
+    return F.coalesce(F.array_max(F.transform(found, lambda c: c["n"])), F.lit(0))
+
+
 def scan_licenses(
     docs: DataFrame,
     key: str = "doc_id",
@@ -109,13 +124,14 @@ def scan_licenses(
     templates: list[tuple[str, str]] = TEMPLATES,
     phrases: list[tuple[str, str]] = PHRASES,
     k: int = GRAM,
-    gap: int = GAP,
+    drift: int = DRIFT,
     least_covered: float = LEAST_COVERED,
 ) -> DataFrame:
     """One row per document: phrase places, labels, score and the accepted spans.
 
     ``key, n_words, n_base, first_word, last_word, base_labels, labels, score, spans``; a span is ``label,
-    first_word, end_word, covered``. The score is the largest share of a template that a span holds, 1 where a
+    first_word, end_word, covered``, the best of those that begin within ``drift`` diagonals of it. Covered is the share
+    of template words in the longest chain of shared k-grams that ascends in text and template. The score is the largest share of a template that a span holds, 1 where a
     phrase stands. Null and empty texts have no words, no label and score 0; repeated rows give repeated rows;
     other columns of ``docs`` are not read. A text is told from its copies by its place in the input, which a
     task that runs again finds the same.
@@ -141,23 +157,26 @@ def scan_licenses(
         F.min("_i").alias("_from"), F.max("_i").alias("_to"), F.collect_set("j").alias("_js")
     )
     line = Window.partitionBy("_row", "template").orderBy("_diagonal")
-    new_span = F.coalesce((F.col("_diagonal") - F.lag("_diagonal").over(line) > gap).cast("int"), F.lit(1))
-    spans = votes.withColumn("_new", new_span).withColumn("_span", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = spans.groupBy(*of_doc, "template", "label", "n_template", "_span").agg(
-        F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("_js")))).alias("_js")
-    )
-    reach = let(
-        F.col("_js"),
-        lambda js: total(F.transform(js, lambda p, n: F.least(F.lit(k), F.coalesce(F.get(js, n + 1), p + k) - p).cast("bigint"))),
-    )
-    covered = F.when(F.col("template").isNotNull(), reach / F.col("n_template"))
-    verified = merged.withColumn("_covered", covered)
+    span = line.rangeBetween(0, drift)
+    each_hit = F.flatten(F.transform("_votes", lambda v: F.transform(v["_js"], lambda j: F.struct((v["_diagonal"] + j).alias("i"), (-j).alias("j")))))
+    chained = let(F.sort_array(each_hit), lambda hits: _ordered(hits, k))
+    verified = votes.withColumns(
+        {
+            "_votes": F.collect_list(F.struct("_diagonal", "_js")).over(span),
+            "_from": F.min("_from").over(span),
+            "_to": F.max("_to").over(span),
+        }
+    ).withColumn("_covered", F.when(F.col("template").isNotNull(), chained / F.col("n_template")))
+    # of spans that start near one another the best is kept, of equal ones the first
+    rank = F.struct(F.col("_covered"), (-F.col("_diagonal")).alias("d"))
+    best = F.max(rank).over(line.rangeBetween(-drift, drift))["d"] == -F.col("_diagonal")
+    verified = verified.withColumn("_best", best)
     accepted = F.col("_covered") >= least_covered
     span = F.struct("label", F.col("_from").cast("bigint").alias("first_word"), (F.col("_to") + k).cast("bigint").alias("end_word"), F.col("_covered").alias("covered"))
     result = verified.groupBy(*of_doc).agg(
         F.collect_set(F.when(accepted, F.col("label"))).alias("_labels"),
         F.coalesce(F.max("_covered"), F.lit(0.0)).alias("_score"),
-        F.sort_array(F.collect_set(F.when(accepted, span))).alias("spans"),
+        F.sort_array(F.collect_set(F.when(accepted & F.col("_best"), span))).alias("spans"),
     )
     return result.select(
         F.col("_key").alias(key), "n_words", "n_base", "first_word", "last_word",

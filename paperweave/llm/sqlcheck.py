@@ -71,12 +71,15 @@ templates(t, label, words) AS (
   SELECT t, label, len(words) AS n, j - 1 AS j, array_to_string(words[j:j + {li.GRAM - 1}], ' ') AS g
   FROM (SELECT *, unnest(range(1, len(words) - {li.GRAM - 2})) AS j FROM templates)
 ), hits AS (SELECT r, t, label, n, i, j, i - j AS diag FROM grams JOIN places USING (g)),
-diags AS (SELECT DISTINCT r, t, diag FROM hits),
-marked AS (SELECT *, coalesce((diag - lag(diag) OVER (PARTITION BY r, t ORDER BY diag) > {li.GAP})::INT, 1) AS new FROM diags),
-spans AS (SELECT r, t, diag, sum(new) OVER (PARTITION BY r, t ORDER BY diag) AS span FROM marked),
-cover AS (
-  SELECT r, t, label, n, span, count(DISTINCT p) / n AS covered
-  FROM (SELECT r, t, label, n, span, unnest(range(j, j + {li.GRAM})) AS p FROM hits JOIN spans USING (r, t, diag)) GROUP BY r, t, label, n, span
+diags AS (SELECT DISTINCT r, t, label, n, diag FROM hits),
+chains AS (
+  SELECT r, t, d.label, d.n, d.diag, list([h.j] ORDER BY h.i, h.j DESC) AS js
+  FROM diags d JOIN hits h USING (r, t) WHERE h.diag BETWEEN d.diag AND d.diag + {li.DRIFT} GROUP BY ALL
+), cover AS (
+  SELECT r, t, label, list_max(list_reduce([list_transform(range(n), lambda p: 0)] || js, lambda best, h: list_transform(range(n), lambda p: CASE
+    WHEN p = h[1] THEN greatest(best[p + 1], {li.GRAM}, coalesce(list_max(list_transform(range(p), lambda o: CASE WHEN best[o + 1] > 0 THEN best[o + 1] + least({li.GRAM}, p - o) END)), 0))
+    ELSE best[p + 1] END))) / n AS covered
+  FROM chains
 ), per AS (
   SELECT r, max(covered) AS score, coalesce(list(DISTINCT label) FILTER (covered >= {li.LEAST_COVERED}), []) AS ls FROM cover GROUP BY r
 )
