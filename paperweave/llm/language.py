@@ -20,8 +20,10 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 #: Bound of the sample a language is learned from, in rows; a language with fewer rows gives all of them.
 ROWS_PER_LANGUAGE = 10_000
-#: Bound of the languages a model may hold: with BUCKETS it bounds what is collected and broadcast.
-MOST_LANGUAGES = 512
+#: Numbers in the table of log probabilities. With more languages than this allows, n-grams share buckets: no language
+#: is left out, and the table that is broadcast keeps its size.
+CELLS = 1 << 24
+FEWEST_BUCKETS = 1 << 8
 SMOOTHING = 0.5
 #: Characters scored at a time.
 BLOCK = 1 << 20
@@ -95,14 +97,25 @@ def _sampled(docs: DataFrame, key: str, text: str, lang: str, most: int) -> tupl
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang")
     )
-    counts = {r["_lang"]: r["n"] for r in known.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # one row per language, which the model holds anyway
+    counts = {r["_lang"]: r["n"] for r in known.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return known, counts
-    share = F.create_map(*[F.lit(x) for lang_, n in counts.items() for x in (lang_, min(1.0, most / n))])
+    many = [(name, most / n) for name, n in counts.items() if n > most]
+    if not many:
+        return known, counts
+    # only languages with more rows than the bound are thinned
+    share = docs.sparkSession.createDataFrame(many, "_lang string, _share double")
     draw = F.pmod(F.xxhash64("_key", F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return known.filter(draw < share[F.col("_lang")]), counts
+    drawn = known.join(share, "_lang", "left").filter(F.col("_share").isNull() | (draw < F.col("_share")))
+    return drawn.drop("_share"), counts
+
+
+def buckets_for(languages: int, buckets: int = BUCKETS) -> int:
+    """Buckets halved until the table of so many languages has at most ``CELLS`` numbers, or few buckets are left."""
+    while languages * buckets > CELLS and buckets > FEWEST_BUCKETS:
+        buckets //= 2
+    return buckets
 
 
 def train(
@@ -116,11 +129,13 @@ def train(
 ) -> LanguageModel:
     """A model of the rows with a text and a language, from at most about ``rows_per_language`` rows of each.
 
-    The sample is drawn by a hash of the key, the same in every run. Without any such row the model knows no
+    The sample is drawn by a hash of the key, the same in every run. Every language is learned, however many there are;
+    see ``CELLS``. Without any such row the model knows no
     language and every text is unknown.
     """
     sample, counts = _sampled(docs, key, text, lang, rows_per_language)
     languages = sorted(counts)
+    buckets = buckets_for(len(languages), buckets)
     if not languages:
         return LanguageModel([], np.zeros((0, buckets), np.float32), np.zeros(0), orders)
 
@@ -160,11 +175,15 @@ def score_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str
         nonlocal held
         if block:
             codes = np.concatenate([c for _, c in block])
-            starts = np.cumsum([0] + [len(c) for _, c in block[:-1]])
+            sizes = np.array([len(c) for _, c in block])
+            starts = np.cumsum(sizes) - sizes
+            gap = max(model.orders)
+            gaps = ((starts + sizes - gap)[:, None] + np.arange(gap)).ravel()
             rows = np.array([k for k, _ in block])
             for order in model.orders:
                 found = gram_buckets(codes, order, model.buckets)
-                # a gap stands between texts, so no n-gram of letters spans two of them; gaps weigh nothing
+                # a gap stands between texts; an n-gram that begins in it would open the next text and weighs nothing
+                found[gaps] = -1
                 present = found >= 0
                 found[~present] = 0
                 for place in range(len(model.languages)):
