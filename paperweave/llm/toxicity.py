@@ -21,8 +21,6 @@ from paperweave.llm.language import letter_codes
 
 #: Bound of the labelled rows a model is learned from.
 TRAIN_ROWS = 20_000
-#: Bound of the features of a model.
-MOST_FEATURES = 400
 #: A feature stands in this many toxic rows of the sample at least, and this many deviations more often than by chance.
 LEAST_ROWS, LEAST_Z = 4, 4.0
 #: Stems are the first letters of a word, of these lengths.
@@ -43,7 +41,8 @@ WORD = re.compile(r"[^\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 _AMID = re.compile(r"[0-9@$!|+€£*._\-]")
 _ODD = re.compile(r"[0-9@$!|+€£][^\W\d_]|[^\W\d_][0-9@$|+€£]|([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*][^\W_]){2,}(?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])(?<![@$!|+€£])(?:[^\W_]|[@$!|+€£])(?:[ .\-_*](?:[^\W_]|[@$!|+€£])){2,}(?![^\W_]|[@$!|+€£])")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
 _GAPS = re.compile(r"[ .\-_*]")
 
 #: Codes of the character model: a gap, the letters a-z, any other letter.
@@ -92,8 +91,11 @@ def train_characters(docs: DataFrame, text: str = "text") -> CharacterModel:
     return CharacterModel.of_counts(counts)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """Per character or run of one character: the spellings it may stand for, each with its cost."""
+def lattice(token: str, doubled: bool = False) -> list[list[tuple[str, float]]]:
+    """Per character or run of one character: the spellings it may stand for, each with its cost.
+
+    With ``doubled`` a letter that stands twice may also be one.
+    """
     out: list[list[tuple[str, float]]] = []
     at = 0
     while at < len(token):
@@ -104,6 +106,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         if char.isalpha():
             if run > 2:
                 out.append([(char, SHORTENED), (char * 2, SHORTENED)])
+            elif run == 2 and doubled:
+                out.append([(char * 2, 0.0), (char, SHORTENED)])
             else:
                 out.append([(char * run, 0.0)])
         else:
@@ -117,11 +121,11 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, model: CharacterModel) -> str:
+def decode(token: str, model: CharacterModel, doubled: bool = False) -> str:
     """The likeliest spelling of a token in lower case: Viterbi over the lattice, a state being the last two letters."""
     cost = model.cost
     states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-    for options in lattice(token.lower()):
+    for options in lattice(token.lower(), doubled):
         after: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (spent, path) in states.items():
             for spelling, price in options:
@@ -161,12 +165,24 @@ def restore(text: str, model: CharacterModel) -> str:
     return re.sub(r"\S+", lambda m: decode(m[0], model) if is_odd(m[0]) else m[0], whole)
 
 
-def token_features(token: str, model: CharacterModel) -> set[str]:
+def openings(word: str, size: int) -> set[str]:
+    """First letters of a word when any of its doubled letters may be one."""
+    out, at = {""}, 0
+    while at < len(word) and any(len(o) < size for o in out):
+        run = 2 if word[at : at + 2] == word[at] * 2 else 1
+        out = {o + more if len(o) < size else o for o in out for more in {word[at], word[at : at + run]}}
+        at += run
+    return {o[:size] for o in out}
+
+
+def token_features(token: str, model: CharacterModel, doubled: bool = False) -> set[str]:
     """Words of a token and their stems; a disguised token gives those of its restored spelling as well."""
     low = token.lower()
     found = WORD.findall(low)
     if is_odd(low):
         found += WORD.findall(decode(low, model))
+    if doubled:
+        found += WORD.findall(decode(low, model, True))
     out: set[str] = set()
     for word in found:
         out.add(f"={word}")
@@ -197,9 +213,11 @@ class ToxicityModel:
 
     def of_token(self, token: str) -> frozenset[str]:
         low = token.lower()
-        # a word can only carry a feature if it opens like one
-        if is_odd(low) or any(w[: STEMS[0]] in self.openings for w in WORD.findall(low)):
-            return frozenset(f for f in token_features(token, self.characters) if f in self.weights)
+        words = WORD.findall(low)
+        # a word can only carry a feature if it opens like one, perhaps with a letter less
+        doubled = _DOUBLED.search(low) is not None and any(not openings(w, STEMS[0]).isdisjoint(self.openings) for w in words)
+        if doubled or is_odd(low) or any(w[: STEMS[0]] in self.openings for w in words):
+            return frozenset(f for f in token_features(token, self.characters, doubled) if f in self.weights)
         return frozenset()
 
     def features(self, text: str) -> set[str]:
@@ -241,7 +259,6 @@ def train(
     key: str = "doc_id",
     text: str = "text",
     train_rows: int = TRAIN_ROWS,
-    most_features: int = MOST_FEATURES,
 ) -> ToxicityModel:
     """A logistic model over the words and stems that set the toxic rows of ``labels`` (key, toxic) apart.
 
@@ -278,7 +295,8 @@ def train(
     rate = t / n
     z = (F.col("toxic") - rows * rate) / F.sqrt(rows * rate * (1 - rate))
     best = table.filter((F.col("feature") != "") & (F.col("toxic") >= LEAST_ROWS)).withColumn("z", z).filter(F.col("z") >= LEAST_Z)
-    names = [r["feature"] for r in best.orderBy(F.desc("z"), "feature").limit(most_features).collect()]
+    # features of a bounded sample: each stands in several toxic rows of it
+    names = sorted(r["feature"] for r in best.select("feature").collect())
     model = ToxicityModel(characters, dict.fromkeys(names, 0.0), bias)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -288,26 +306,48 @@ def train(
             held = [sorted(place[f] for f in shared.value.features(x)) for x in batch["_text"]]
             yield pd.DataFrame({"held": held, "toxic": batch["_toxic"]})
 
-    # equal rows count once with their number; features and rows are both bounded
+    # equal rows count once with their number
     picked = sample.mapInPandas(select, "held array<int>, toxic int").groupBy("held", "toxic").count().toPandas()
-    matrix = np.zeros((len(picked), len(names) + 1))
-    matrix[:, -1] = 1.0
-    for k, held in enumerate(picked["held"]):
-        matrix[k, np.asarray(held, dtype=np.int64)] = 1.0
-    weights = fit_logistic(matrix, picked["toxic"].to_numpy(np.float64), picked["count"].to_numpy(np.float64))
+    weights = fit_logistic(picked["held"].to_list(), len(names), picked["toxic"].to_numpy(np.float64), picked["count"].to_numpy(np.float64))
     return ToxicityModel(characters, dict(zip(names, weights[:-1].tolist())), float(weights[-1]))
 
 
-def fit_logistic(matrix: np.ndarray, target: np.ndarray, n: np.ndarray, ridge: float = RIDGE, steps: int = 30) -> np.ndarray:
-    """Weights by Newton steps with a ridge on all but the last column, the constant."""
-    weights = np.zeros(matrix.shape[1])
-    penalty = np.full(matrix.shape[1], ridge)
+def fit_logistic(held: list, width: int, target: np.ndarray, n: np.ndarray, ridge: float = RIDGE, steps: int = 30) -> np.ndarray:
+    """Weights by Newton steps with a ridge on all but the last, the constant.
+
+    ``held`` lists the features of each row, so the work follows their number, not rows times features; each step is
+    solved by conjugate gradients.
+    """
+    sizes = np.array([len(h) for h in held], dtype=np.int64)
+    place = np.concatenate([np.asarray(h, dtype=np.int64) for h in held]) if len(held) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(held)), sizes)
+    penalty = np.full(width + 1, ridge)
     penalty[-1] = 1e-6
+
+    def forth(v: np.ndarray) -> np.ndarray:
+        return np.bincount(row, weights=v[place], minlength=len(held)) + v[-1]
+
+    def back(x: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(place, weights=x[row], minlength=width), x.sum())
+
+    weights = np.zeros(width + 1)
     for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(-np.clip(matrix @ weights, -30, 30)))
-        slope = matrix.T @ (n * (p - target)) + penalty * weights
-        curve = (matrix * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ matrix + np.diag(penalty)
-        step = np.linalg.solve(curve, slope)
+        p = 1.0 / (1.0 + np.exp(-np.clip(forth(weights), -30, 30)))
+        slope = back(n * (p - target)) + penalty * weights
+        curve = n * np.maximum(p * (1 - p), 1e-6)
+        scale = 1.0 / (back(curve) + penalty)
+        step, rest = np.zeros(width + 1), slope.copy()
+        way = scale * rest
+        size = rest @ way
+        for _ in range(4 * (width + 1) + 50):
+            if np.abs(rest).max() <= 1e-10 * max(1.0, np.abs(slope).max()):
+                break
+            bent = back(curve * forth(way)) + penalty * way
+            share = size / (way @ bent)
+            step += share * way
+            rest -= share * bent
+            size, before = rest @ (scale * rest), size
+            way = scale * rest + size / before * way
         weights -= step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
