@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperweave.llm import toxicity
-from paperweave.llm.common import read
+from paperweave.llm.common import fresh, read
 from paperweave.llm.dedup import drop_near_duplicates
 from paperweave.llm.quality import clean_documents
 from paperweave.llm.queries import packed
@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of one half and more go; the model is learned from all labels of the documents at hand."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), toxicity.train_characters(docs))
-    mark = "__toxicity"
+    mark = fresh(docs.columns, "__toxicity")
     return toxicity.with_toxicity(docs, model, into=mark).filter(F.col(mark) < 0.5).select(*docs.columns)
 
 

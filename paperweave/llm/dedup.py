@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperweave.llm.common import fresh
 from paperweave.session import landed
 
 #: Words of a shingle and the similarity, in percent, from which documents are linked.
@@ -323,10 +324,8 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     """The documents without near copies: one row of every component, with all columns; texts without words stay."""
     verdict = near_duplicates(docs, key, text, **options)
     firsts = verdict.filter("_first").select("_md5", "_keyhash").distinct()
-    marks = {"__md5": _text_id(key, text)[0], "__keyhash": _text_id(key, text)[1]}
-    named = docs.withColumns(marks)
-    kept = named.join(
-        firsts.select(F.col("_md5").alias("__md5"), F.col("_keyhash").alias("__keyhash")), ["__md5", "__keyhash"], "left_semi"
-    )
+    md5, keyhash = fresh(docs.columns, "__md5"), fresh(docs.columns, "__keyhash")
+    named = docs.withColumns(dict(zip((md5, keyhash), _text_id(key, text))))
+    kept = named.join(firsts.select(F.col("_md5").alias(md5), F.col("_keyhash").alias(keyhash)), [md5, keyhash], "left_semi")
     # a row that is there several times, word for word, stays once
-    return kept.dropDuplicates(["__md5", "__keyhash"]).select(*docs.columns)
+    return kept.dropDuplicates([md5, keyhash]).select(*docs.columns)

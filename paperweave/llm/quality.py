@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperweave.llm.common import SPACE, let, total, words
+from paperweave.llm.common import SPACE, fresh, let, total, words
 
 WINDOW = 5
 #: A document needs this many words.
@@ -158,7 +158,7 @@ def clean_documents(docs: DataFrame, text: str = "text", n_chars: str | None = "
 
     Repeated rows are judged alike and all stay; ``n_chars``, where the table has it, follows the text.
     """
-    mark = "__quality"
+    mark = fresh(docs.columns, "__quality")
     judged = with_quality(docs, text, mark, **rules).filter(F.col(mark)["kept"])
     changed = {text: F.col(mark)["clean"]}
     if n_chars in docs.columns:
