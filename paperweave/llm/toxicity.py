@@ -183,11 +183,11 @@ def token_features(token: str, model: CharacterModel, doubled: bool = False) ->
         found += WORD.findall(decode(low, model))
     if doubled:
         found += WORD.findall(decode(low, model, True))
-    out: set[str] = set()
-    for word in found:
-        out.add(f"={word}")
-        out.update(f"^{word[:n]}" for n in STEMS if n < len(word))
-    return out
+    return {f for word in found for f in word_features(word)}
+
+
+def word_features(word: str) -> list[str]:
+    return [f"={word}", *[f"^{word[:n]}" for n in STEMS if n < len(word)]]
 
 
 def text_tokens(text: str, model: CharacterModel) -> set[str]:
@@ -213,12 +213,23 @@ class ToxicityModel:
 
     def of_token(self, token: str) -> frozenset[str]:
         low = token.lower()
-        words = WORD.findall(low)
+        if is_odd(low):
+            found = token_features(token, self.characters, _DOUBLED.search(low) is not None)
+            return frozenset(f for f in found if f in self.weights)
         # a word can only carry a feature if it opens like one, perhaps with a letter less
-        doubled = _DOUBLED.search(low) is not None and any(not openings(w, STEMS[0]).isdisjoint(self.openings) for w in words)
-        if doubled or is_odd(low) or any(w[: STEMS[0]] in self.openings for w in words):
-            return frozenset(f for f in token_features(token, self.characters, doubled) if f in self.weights)
-        return frozenset()
+        words = WORD.findall(low)
+        kept = [w for w in words if w[: STEMS[0]] in self.openings]
+        if _DOUBLED.search(low):
+            kept += [decode(w, self.characters, True) for w in words if self._may_be_doubled(w)]
+        return frozenset(f for w in kept for f in word_features(w) if f in self.weights)
+
+    def _may_be_doubled(self, word: str) -> bool:
+        """Whether a spelling with fewer doubled letters has a feature: the search for the likeliest one is worth it."""
+        runs = len(_DOUBLED.findall(word))
+        if not runs or openings(word, STEMS[0]).isdisjoint(self.openings):
+            return False
+        # spellings double with each run, so a word of many runs goes to the search without trying them
+        return runs > 4 or any(f in self.weights for w in openings(word, len(word)) if w != word for f in word_features(w))
 
     def features(self, text: str) -> set[str]:
         out: set[str] = set()
