@@ -11,6 +11,7 @@ from paperweave.functions import labels as L
 from paperweave.functions import similarity, text
 from paperweave.functions.hashing import hash_fraction, hash_order
 from paperweave.operators import filters, nested
+from paperweave.operators.lemmas import lemma_tokens
 
 
 @query("clean_abstract", f"SELECT doc_id, {q.clean('t')} AS abstract FROM (SELECT doc_id, '<jats:p>Abstract ' || text || '</jats:p>' || chr(10) AS t FROM documents) d")
@@ -24,6 +25,21 @@ def tokenize_clean(t) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(text.tokens("text"), " ").alias("tokens"))
 
 
+@query(
+    "tokenize_lemmas",
+    f"""
+    WITH dictionary AS (SELECT lower(word) AS word, min(lemma) AS lemma FROM lemmas WHERE word <> '' AND lemma <> '' GROUP BY 1),
+    raw AS (SELECT doc_id, list_transform({q.words('text')}, lambda w: lower(w)) AS ws FROM documents),
+    each AS (SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w FROM raw),
+    found AS (SELECT doc_id, string_agg(coalesce(lemma, {q.singular('w')}), ' ' ORDER BY pos) AS tokens FROM each LEFT JOIN dictionary ON word = w GROUP BY doc_id)
+    SELECT doc_id, coalesce(tokens, '') AS tokens FROM documents LEFT JOIN found USING (doc_id)
+    """,
+    "lemmas",
+)
+def tokenize_lemmas(t) -> DataFrame:
+    return lemma_tokens(t.documents, "text", t.lemmas, ["doc_id"]).select("doc_id", F.array_join("_words", " ").alias("tokens"))
+
+
 @query(
     "ngram_terms",
     f"""

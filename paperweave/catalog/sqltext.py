@@ -25,18 +25,25 @@ def describe(columns: list[str]) -> str:
     return clean(x) if "abstract" in columns else x
 
 
-def tokens(x: str) -> str:
+def words(x: str) -> str:
     stops = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
     words = f"string_split_regex(regexp_replace({x}, '[{ASCII_MARKS}{DIGIT_CLASS}]', '', 'g'), '[{SPACE_CLASS}]+')"
-    kept = f"list_filter({words}, lambda w: w <> '' AND w NOT IN ({stops}))"
-    one = "lower(w)"
+    return f"list_filter({words}, lambda w: w <> '' AND w NOT IN ({stops}))"
+
+
+def singular(word: str) -> str:
+    one = word
     for pattern, replacement in (
         ("^(.{2,})ies$", "\\1y"),
         ("^(.*)(ch|sh|ss|x|z)es$", "\\1\\2"),
         ("^(.{2,}[^suis])s$", "\\1"),
     ):
         one = f"regexp_replace({one}, '{pattern}', '{replacement}')"
-    return f"list_filter(list_transform({kept}, lambda w: {one}), lambda w: w <> '')"
+    return one
+
+
+def tokens(x: str) -> str:
+    return f"list_filter(list_transform({words(x)}, lambda w: {singular('lower(w)')}), lambda w: w <> '')"
 
 
 def unigrams(token_list: str) -> str:

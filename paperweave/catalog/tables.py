@@ -283,6 +283,16 @@ def stored_pages(d) -> str:
     """
 
 
+def lemmas(d) -> str:
+    """A dictionary: every twentieth word of the documents has a lemma of its own, some of them two."""
+    each = "explode(split(lower(text), ' '))" if isinstance(d, SparkDialect) else "unnest(string_split(lower(text), ' '))"
+    return f"""
+    SELECT word, substr(word, 1, 3) || 'um' AS lemma FROM (SELECT DISTINCT {each} AS word FROM {d.table('documents')}) w
+    WHERE word <> '' AND {d.h('word', 'lemma', 20)} = 0
+    UNION ALL SELECT word, 'zz' FROM (SELECT DISTINCT {each} AS word FROM {d.table('documents')}) w WHERE {d.h('word', 'lemma', 40)} = 0
+    """
+
+
 def predictions(d) -> str:
     """Papers with their labels and one guessed label."""
     return f"""
@@ -321,6 +331,7 @@ DERIVED = {
     "paper_triples": (paper_triples, ["papers"]),
     "stored_pages": (stored_pages, ["page_rows"]),
     "triples": (triples, ["customer", "orders", "nation", "region"]),
+    "lemmas": (lemmas, ["documents"]),
     "predictions": (predictions, ["corpus"]),
     "new_papers": (new_papers, ["corpus"]),
 }

@@ -105,26 +105,34 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def tokens_sql(text: str, stop_words: Sequence[str] = STOP_WORDS) -> str:
-    """SQL text: words of ``text`` without marks, digits and stop words, lower-cased, nouns in the singular.
+def words_sql(text: str, stop_words: Sequence[str] = STOP_WORDS) -> str:
+    """SQL text: words of ``text`` without marks, digits and stop words, lower-cased.
 
-    Stop words are compared before lower-casing, so a capitalised one stays. The three endings stand in for
-    a noun dictionary.
+    Stop words are compared before lower-casing, so a capitalised one stays.
     """
     bare = f"regexp_replace({text}, r'[{ASCII_MARKS}{DIGIT_CLASS}]', '')"
     words = f"split({bare}, r'[{SPACE_CLASS}]+')"
     stops = ", ".join(_quoted(w) for w in stop_words)
     keep = f"w <> '' AND w NOT IN ({stops})" if stop_words else "w <> ''"
+    return f"transform(filter({words}, w -> {keep}), w -> lower(w))"
+
+
+def singular_sql(word: str) -> str:
+    """SQL text: the singular of a noun by its ending; the three endings stand in for a noun dictionary."""
     # only a word that ends in s can have one of the endings
-    singular = "w"
+    singular = word
     for pattern, replacement in (
         (r"^(.{2,})ies$", "$1y"),
         (r"(ch|sh|ss|x|z)es$", "$1"),
         (r"(..[^suis])s$", "$1"),
     ):
         singular = f"regexp_replace({singular}, r'{pattern}', '{replacement}')"
-    lowered = f"transform(filter({words}, w -> {keep}), w -> lower(w))"
-    return f"transform({lowered}, w -> CASE WHEN endswith(w, 's') THEN {singular} ELSE w END)"
+    return f"CASE WHEN endswith({word}, 's') THEN {singular} ELSE {word} END"
+
+
+def tokens_sql(text: str, stop_words: Sequence[str] = STOP_WORDS) -> str:
+    """SQL text: :func:`words_sql`, nouns in the singular. ``operators.lemmas`` also knows a dictionary."""
+    return f"transform({words_sql(text, stop_words)}, w -> {singular_sql('w')})"
 
 
 def tokens(c: Column | str, stop_words: Sequence[str] = STOP_WORDS) -> Column:
