@@ -104,8 +104,9 @@ def _sampled(docs: DataFrame, key: str, text: str, lang: str, most: int) -> tupl
     many = [(name, most / n) for name, n in counts.items() if n > most]
     if not many:
         return known, counts
-    # only languages with more rows than the bound are thinned
-    share = docs.sparkSession.createDataFrame(many, "_lang string, _share double")
+    # only languages with more rows than the bound are thinned; a row of the model, which is broadcast too, is far
+    # larger than one of this list, and without the hint the texts would travel by language
+    share = F.broadcast(docs.sparkSession.createDataFrame(many, "_lang string, _share double"))
     draw = F.pmod(F.xxhash64("_key", F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = known.join(share, "_lang", "left").filter(F.col("_share").isNull() | (draw < F.col("_share")))
     return drawn.drop("_share"), counts
