@@ -370,3 +370,33 @@ def test_author_is_asked_only_where_it_decides(spark):
     whole = sorted((tuple(map(str, r[:5])), r.valid) for r in matching.validate_match(df).select(*keys, "valid").collect())
     less = sorted((tuple(map(str, r[:5])), r.valid) for r in matching.validate_match(df, whole=False).select(*keys, "valid").collect())
     assert whole == less and {v for _, v in whole} == {True, False}
+
+
+def test_hashed_vectors_keep_their_width_in_no_task(spark, tmp_path, monkeypatch):
+    """Weights as from the dense stages, unseen places included; no stage as wide as the vectors is fitted, and a saved model goes on."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import HashingTF, Normalizer
+
+    from paperweave.sinks.writers import load_model, save_model
+
+    rows = spark.createDataFrame([(1, "red apple red"), (2, ""), (3, "green apple pie"), (3, "green apple pie"), (4, None)], "id int, text string")
+    other = spark.createDataFrame([(5, "red unseen pie"), (6, "")], "id int, text string")
+    terms = 8 * 8  # apple, green, pie, red and four pairs of them
+    width = 1 << (terms - 1).bit_length()
+    dense = Pipeline(
+        stages=[
+            *features.text_stages(), HashingTF(inputCol=features.TERMS, outputCol="_counts", numFeatures=width),
+            features.SmoothedIdf("_counts", "_weighted"), Normalizer(inputCol="_weighted", outputCol="features", p=2.0),
+        ]
+    ).fit(rows.na.fill(""))
+    expected = [sorted((r["id"], [round(x, 9) for x in r["features"].toArray()]) for r in dense.transform(d).collect()) for d in (rows.na.fill(""), other)]
+
+    def refuse(*_args, **_kwargs):
+        raise AssertionError("a stage as wide as the vectors")
+
+    monkeypatch.setattr(features.SmoothedIdf, "_fit", refuse)
+    model = features.embedding("tfidf hashed").fit(rows.na.fill(""))
+    save_model(model, str(tmp_path / "m"))
+    for m in (model, load_model(str(tmp_path / "m"))):
+        got = [sorted((r["id"], [round(x, 9) for x in r["features"].toArray()]) for r in m.transform(d).collect()) for d in (rows.na.fill(""), other)]
+        assert got == expected
