@@ -400,3 +400,18 @@ def test_hashed_vectors_keep_their_width_in_no_task(spark, tmp_path, monkeypatch
     for m in (model, load_model(str(tmp_path / "m"))):
         got = [sorted((r["id"], [round(x, 9) for x in r["features"].toArray()]) for r in m.transform(d).collect()) for d in (rows.na.fill(""), other)]
         assert got == expected
+
+
+def test_sentence_vectors_leave_in_slices(spark):
+    """No call encodes more texts than the bound on numbers allows, and every slot is as before."""
+    most = features.VECTOR_NUMBERS // features.SENTENCE_DIM
+
+    def encode(texts):
+        if len(texts) > most:
+            raise ValueError(f"{len(texts)} sentences at once")
+        return features.hashed_words(texts)
+
+    rows = spark.range(1500, numPartitions=1).select("id", F.concat(F.lit("one two. three four five."), F.repeat(F.lit(" and so on."), (F.col("id") % 9).cast("int"))).alias("text"))
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    got = features.sentence_vectors(rows, "text", 10, encode=encode).select("id", F.size("vector").alias("n"), total.alias("words")).collect()
+    assert len(got) == 1500 and all(r["n"] == 5120 and r["words"] == 5 + 3 * (r["id"] % 9) for r in got)
