@@ -44,18 +44,33 @@ def words_of(s: str) -> str:
 
 
 def _window_score(a: str, b: str) -> int:
-    """Best ratio of the shorter string against equally long pieces of the longer one."""
+    """Best ratio of the shorter string against equally long pieces of the longer one.
+
+    From one piece to the next the common subsequence grows by at most one character, so pieces that cannot
+    pass the best one are stepped over; the places of the shorter string's characters are found once.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 0
-    best = 0
-    for start in range(len(b) - len(a) + 1):
-        piece = b[start : start + len(a)]
-        if piece == a:
-            return 100
-        best = max(best, score(a, piece))
-    return best
+    if a in b:
+        return 100
+    n = len(a)
+    where: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        where[ch] = where.get(ch, 0) | (1 << i)
+    full = (1 << n) - 1
+    best, start = 0, 0
+    while start <= len(b) - n:
+        row = full
+        for ch in b[start : start + n]:
+            hit = row & where.get(ch, 0)
+            if hit:
+                row = ((row + hit) | (row - hit)) & full
+        common = n - row.bit_count()
+        best = max(best, common)
+        start += best - common + 1
+    return int(round(200.0 * best / (n + n)))
 
 
 def weighted_score(left: str, right: str) -> int:

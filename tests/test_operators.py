@@ -6,6 +6,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from paperweave.functions import similarity
 from paperweave.functions.similarity import score, weighted_score
 from paperweave.operators import features, harmonise, joins, linear, matching, metrics, sampling, selection
 from paperweave.operators.distribution import labels_by_threshold, quota
@@ -415,3 +416,14 @@ def test_sentence_vectors_leave_in_slices(spark):
     total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
     got = features.sentence_vectors(rows, "text", 10, encode=encode).select("id", F.size("vector").alias("n"), total.alias("words")).collect()
     assert len(got) == 1500 and all(r["n"] == 5120 and r["words"] == 5 + 3 * (r["id"] % 9) for r in got)
+
+
+def test_window_score_steps_over_pieces(monkeypatch):
+    """The best of all windows, as brute force has it, with far fewer than all of them looked at."""
+    draw = random.Random(7)
+    for _ in range(500):
+        a, b = ("".join(draw.choice("ab cd") for _ in range(draw.randrange(1, n))) for n in (9, 40))
+        a, b = sorted((a, b), key=len)
+        assert similarity._window_score(b, a) == max(score(a, b[k : k + len(a)]) for k in range(len(b) - len(a) + 1))
+    monkeypatch.setattr(similarity, "score", None)  # pieces are not scored one by one
+    assert similarity._window_score("abcd", "x" * 50 + "abxcd" + "y" * 50) == 75
