@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -427,3 +429,19 @@ def test_window_score_steps_over_pieces(monkeypatch):
         assert similarity._window_score(b, a) == max(score(a, b[k : k + len(a)]) for k in range(len(b) - len(a) + 1))
     monkeypatch.setattr(similarity, "score", None)  # pieces are not scored one by one
     assert similarity._window_score("abcd", "x" * 50 + "abxcd" + "y" * 50) == 75
+
+
+def test_block_with_numbered_terms():
+    """Terms of a block are numbered once; loss and slope come from the numbers as from the terms themselves."""
+    rows = pd.DataFrame({"block": 0, "labels": [[0], [1, 2], [2, 2]], "terms": [["qb", "qc"], [], ["qc", "qd"]], "ws": [[0.6, 0.8], [], [1.0, 0.5]]})
+    encoded = linear._encoded(rows)
+    own = encoded[encoded["at"] >= 0]
+    assert own["term"].to_list() == ["qb", "qc", "qd", linear.CONSTANT] and encoded["place"].notna().sum() == 1
+    block = linear._Block(encoded[encoded["at"] < 0], own.sample(frac=1, random_state=3), 1, 2)
+    weights = np.array([[0.1, -0.4], [0.2, 0.3], [-0.5, 0.7], [0.05, -0.1]])
+    x = np.array([[0.6, 0.8, 0, 1], [0, 0, 0, 1], [0, 1.0, 0.5, 1]])
+    hits, copies = np.array([[0, 0], [1, 1], [0, 2.0]]), np.array([[1.0], [2], [2]])
+    m = x @ weights
+    loss, slope = block.loss_and_slope(weights)
+    assert loss == pytest.approx((copies * np.log1p(np.exp(m)) - hits * m).sum(axis=0))
+    assert slope == pytest.approx(x.T @ (copies / (1 + np.exp(-m)) - hits))
