@@ -278,6 +278,17 @@ def test_linear_blocks_and_label_chunks_agree(spark, monkeypatch):
     assert max(abs(a - b) for a, b in zip(whole.loss, chunks.loss)) < 1e-5
 
 
+def test_linear_blocks_need_few_passes(spark, monkeypatch):
+    """With hardly any ridge the common fit of several blocks is done within a few passes over the terms."""
+    rows = _linear_rows(spark)
+    monkeypatch.setattr(linear, "BLOCK_TERMS", 2500)
+    blocks = linear.train_text(rows, "id", bigrams=False)
+    monkeypatch.setattr(linear, "BLOCK_TERMS", 4_000_000)
+    whole = linear.train_text(rows, "id", bigrams=False)
+    assert whole.steps == 0 < blocks.steps <= 40
+    assert all(b < a + 1e-4 for a, b in zip(whole.loss, blocks.loss))
+
+
 def test_linear_scores_and_edges(spark, tmp_path):
     rows = _linear_rows(spark)
     model = linear.train_text(rows, "id", bigrams=False, alpha=1e-3)
