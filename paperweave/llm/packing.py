@@ -9,23 +9,27 @@ all blocks and packed again.
 
 from __future__ import annotations
 
+import json
 import os
 import random
+import re
 import sys
 from array import array
 from bisect import bisect_left, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperweave.llm.common import gathered
 from paperweave.session import landed, work_path
 
 CAPACITY = 4096
@@ -39,12 +43,24 @@ POPULATION, ELITES, CHILDREN = 6, 2, 20
 INJECTED = 0.08
 #: Sequences filled less than this are pooled and packed again.
 POOLED_BELOW = 0.995
-#: Distinct words, and parts of texts, whose ids a task keeps; beyond it a store starts anew.
-KEPT_WORDS, KEPT_PARTS = 800_000, 400_000
+#: Distinct words and parts of texts whose ids a task keeps; beyond it the store starts anew.
+KEPT_WORDS = 1_000_000
 #: Characters of texts that are coded together, and new words that the tokenizer gets in one call.
 BLOCK_CHARS, JOINED_WORDS = 1 << 21, 64
 #: What ends the name of an id that ends a word.
 WORD_END = "</w>"
+#: The steps before the model, for which the words of plain characters are known.
+_AS_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPLIT = {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
+_SPACES = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+KNOWN_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, _SPACES, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [_SPLIT, _AS_BYTES]},
+}
+#: Words of characters that no normal form changes, as that pattern cuts them where there is no apostrophe.
+_PLAIN = "[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+"
+plain_words, is_plain, all_plain = re.compile(_PLAIN).findall, re.compile(_PLAIN).fullmatch, re.compile(f"(?:{_PLAIN})*").fullmatch
 
 
 class WordCoder:
@@ -57,8 +73,14 @@ class WordCoder:
         if array("I").itemsize != 4 or sys.byteorder != "little":
             raise RuntimeError("ids are packed as little-endian 32-bit numbers")
         self.tokenizer = Tokenizer.from_str(content)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        # the same model without the steps that leave plain words as they are; a byte of ASCII stands for itself
+        rules = json.loads(content)
+        self.knows_plain = {k: rules.get(k) for k in KNOWN_STEPS} == KNOWN_STEPS
+        rules |= {"normalizer": None, "added_tokens": []}
+        spaces = {"type": "WhitespaceSplit"}
+        self.bare = Tokenizer.from_str(json.dumps({**rules, "pre_tokenizer": spaces}))
+        self.bare_bytes = Tokenizer.from_str(json.dumps({**rules, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [spaces, _AS_BYTES]}}))
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
         self.ends[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
@@ -69,21 +91,29 @@ class WordCoder:
         No rule of the tokenizer reaches across a space or a line break, so the parts between them are coded by
         themselves, each once: the lower-case word, and the mark that ends it.
         """
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        if len(self.parts) > KEPT_PARTS:
-            self.parts.clear()
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        fresh = {part: self._words_of(part) for part in set(chain.from_iterable(cut)) if part not in self.parts}
-        self._learn(list({word for words in fresh.values() for word in words if word not in self.words}))
-        for part, words in fresh.items():
-            self.parts[part] = b"".join(map(self.words.__getitem__, words))
-        return [b"".join(map(self.parts.__getitem__, parts)) for parts in cut]
-
-    @staticmethod
-    def _words_of(part: str) -> tuple[str, ...]:
+        known = self.known
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if not parts:
+            return []
+        found = list(map(known.get, parts))
+        fresh = [(at, self._words_of(parts[at])) for at, ids in enumerate(found) if ids is None]
+        self._learn(list({word for _, words in fresh for word in words if word not in known}))
+        for at, words in fresh:
+            found[at] = known[parts[at]] = known[words[0]] if len(words) == 1 else b"".join(map(known.__getitem__, words))
+        return gathered(found, coded.indices.to_numpy(), cut.offsets.to_numpy())
+
+    def _words_of(self, part: str) -> Sequence[str]:
         # the tokenizer does not know the form of a sigma at the end of a word, and takes marks in order before it lowers
         low = part if "Σ" in part or "İ" in part else part.lower()
+        if low.isascii() and low.isalpha():
+            return (low,)
+        # names of added ids begin so
+        if self.knows_plain and "<|" not in low and all_plain(low):
+            return plain_words(low)
         # after one of these letters a single full stop or comma is a word of its own; others may be taken apart
         # into a letter and a mark, which holds on to what follows
         if low[-1:] in (".", ",") and low[-2:-1].isascii() and low[-2:-1].isalpha():
@@ -91,21 +121,27 @@ class WordCoder:
         return (low,)
 
     def _learn(self, words: list[str]) -> None:
-        """Words of letters go to the tokenizer many at a time: each gives one id that ends a word, its last."""
-        plain = [w for w in words if w.isalpha() and (w.isascii() or is_normalized("NFC", w))]
-        for k in range(0, len(plain), JOINED_WORDS):
-            own = plain[k : k + JOINED_WORDS]
-            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, dtype="<u4")
+        """Plain words and words of letters go to the tokenizer many at a time: each gives one id that ends a word, its last."""
+        plain = [w for w in words if is_plain(w)] if self.knows_plain else []
+        self._learn_joined(self.bare, [w for w in plain if w.isascii()])
+        self._learn_joined(self.bare_bytes, [w for w in plain if not w.isascii()])
+        others = [w for w in words if w not in self.known] if len(plain) < len(words) else []
+        self._learn_joined(self.tokenizer, [w for w in others if w.isalpha() and (w.isascii() or is_normalized("NFC", w))])
+        for word in words:
+            if word not in self.known:
+                self.known[word] = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _learn_joined(self, tokenizer, words: list[str]) -> None:
+        for k in range(0, len(words), JOINED_WORDS):
+            own = words[k : k + JOINED_WORDS]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(own) or cuts[-1] != len(ids):
                 continue  # not as expected: these go one by one
             flat, at = ids.tobytes(), 0
             for word, end in zip(own, (4 * cuts).tolist()):
-                self.words[word] = flat[at:end]
+                self.known[word] = flat[at:end]
                 at = end
-        for word in words:
-            if word not in self.words:
-                self.words[word] = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(maxsize=2)

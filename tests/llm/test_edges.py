@@ -100,6 +100,21 @@ def test_word_coder_is_the_tokenizer():
         assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_words_need_no_normal_forms():
+    """Words that the tokenizer's steps leave as they are go to its model alone, with the same ids."""
+    coder, tokenizer = packing.WordCoder(content()), packing.WordCoder(content()).tokenizer
+    coder.tokenizer = None
+    texts = ["Été straße, (459) a<b>c!! naïve.\n\n  x--y $$$ ÀÞÿ 007", "", " ", "~^_`[z]{|} #*%& no.5,6"]
+    for text, ids in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    draw = random.Random(6)
+    coder.tokenizer = tokenizer
+    signs = [*"abcABZ019 '’.,!?$*<|>-_`~\n éßñÿÀµªº×ΣİḰ中²½", "'s", "n't", "<|endoftext|>", "<|"]
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randrange(14))) for _ in range(3000)]
+    for text, ids in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 # ---- top-k ----
 
 
