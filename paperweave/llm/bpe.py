@@ -15,10 +15,13 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from paperweave.llm.common import gathered
+
 #: Distinct words, and parts of texts, whose ids a task keeps between batches; beyond it a store starts anew.
 KEPT_WORDS, KEPT_PARTS = 600_000, 400_000
 #: Words of more bytes than this go through the query that counts runs.
@@ -52,7 +55,7 @@ WITH RECURSIVE state(key, tok, step) AS (
 ), last AS (
   SELECT key >> 32 AS word, max(step) AS step FROM state GROUP BY 1
 )
-SELECT word, list(tok ORDER BY key) AS ids FROM state JOIN last ON key >> 32 = word AND state.step = last.step GROUP BY word ORDER BY word
+SELECT (key >> 32)::INT AS word, tok FROM state JOIN last ON key >> 32 = word AND state.step = last.step ORDER BY key
 """
 ENCODE = _ENCODE.format(runs="", state="state", apart="tok <> next")
 ENCODE_LONG = _ENCODE.format(
@@ -68,7 +71,7 @@ ENCODE_LONG = _ENCODE.format(
 )
 
 DECODE = """
-SELECT doc, string_agg(bytes, '' ORDER BY place) AS hex FROM ids JOIN vocabulary USING (tok) GROUP BY doc
+SELECT doc, bytes FROM ids JOIN vocabulary USING (tok) ORDER BY place
 """
 
 
@@ -100,7 +103,7 @@ class Coder:
         self.db.execute("SET enable_progress_bar = false")
         merges = merge_table(self.ranks)  # noqa: F841 named in the SQL
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
-        vocabulary = pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "bytes": [t.hex() for t in self.ranks]})  # noqa: F841
+        vocabulary = pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
         self.single = np.full(256, -1, dtype=np.int32)
         for token, rank in self.ranks.items():
@@ -139,11 +142,11 @@ class Coder:
             }
         )
         query = ENCODE_LONG if lengths[-1] > LONG_WORD else ENCODE
-        found = self.db.sql(query).to_arrow_table().combine_chunks()
-        ids = found["ids"].combine_chunks()
-        flat, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-        for n, (word, _) in zip(found["word"].to_pylist(), block, strict=True):
-            self.known[word] = flat[ends[n] - ends[0] : ends[n + 1] - ends[0]].tobytes()
+        found = self.db.sql(query).to_arrow_table()
+        flat = found["tok"].to_numpy().astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(found["word"].to_numpy(), minlength=len(block)))).tolist()
+        for (word, _), low, high in zip(block, [0, *ends], ends):
+            self.known[word] = flat[low:high]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text: little-endian unsigned 32-bit numbers.
@@ -155,22 +158,26 @@ class Coder:
             self.known.clear()
         if len(self.parts) > KEPT_PARTS:
             self.parts.clear()
-        cut = [self._parts(text) for text in texts]
-        new = {part for parts in cut for part in parts if part not in self.parts}
-        pieces = {part: self.pattern.findall(part) for part in new}
-        fresh = {word for found in pieces.values() for word in found if word not in self.known}
+        if not texts:
+            return []
+        texts = [text if text.isascii() else text.encode("utf-8", "replace").decode() for text in texts]
+        whole = ["  " in text or text.endswith(" ") for text in texts]
+        cut = pc.split_pattern(pa.array(["" if w else text for w, text in zip(whole, texts)], pa.string()), " ")
+        coded, offsets = cut.flatten().dictionary_encode(), cut.offsets.to_numpy()
+        # a text's first part has no space before it and stands behind the others
+        parts = [" " + part for part in coded.dictionary.to_numpy(zero_copy_only=False)]
+        order = coded.indices.to_numpy().copy()
+        order[offsets[:-1]] = len(parts) + np.arange(len(texts))
+        parts += [text if w else text.split(" ", 1)[0] for w, text in zip(whole, texts)]
+        found = list(map(self.parts.get, parts))
+        pieces = {part: self.pattern.findall(part) for part, ids in zip(parts, found) if ids is None}
+        fresh = {word for words in pieces.values() for word in words if word not in self.known}
         if fresh:
             self.learn(fresh)
-        for part, found in pieces.items():
-            self.parts[part] = b"".join(map(self.known.__getitem__, found))
-        return [b"".join(map(self.parts.__getitem__, parts)) for parts in cut]
-
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        if "  " in text or text.endswith(" "):
-            return [text]
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]]
+        for part, words in pieces.items():
+            self.parts[part] = self.known[words[0]] if len(words) == 1 else b"".join(map(self.known.__getitem__, words))
+        found = [self.parts[part] if ids is None else ids for part, ids in zip(parts, found)]
+        return gathered(found, order, offsets)
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
         """Bytes of each list of ids."""
@@ -193,10 +200,12 @@ class Coder:
         lengths = [len(i) for _, i in block]
         tok = np.concatenate([i for _, i in block]).astype(np.int32)
         ids = pa.table({"doc": np.repeat(np.arange(len(block)), lengths), "place": np.arange(len(tok)), "tok": tok})  # noqa: F841
-        found = self.db.execute(DECODE).fetchall()
-        joined = dict(found)
-        for n, (k, _) in enumerate(block):
-            out[k] += bytes.fromhex(joined.get(n, ""))
+        found = self.db.sql(DECODE).to_arrow_table()
+        sizes = pc.binary_length(found["bytes"]).to_numpy()
+        flat = b"".join(found["bytes"].to_numpy())
+        ends = np.cumsum(np.bincount(found["doc"].to_numpy(), sizes, len(block))).astype(np.int64).tolist()
+        for (k, _), low, high in zip(block, [0, *ends], ends):
+            out[k] += flat[low:high]
 
 
 #: Characters that are encoded together.

@@ -115,6 +115,38 @@ def test_plain_words_need_no_normal_forms():
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_byte_coder_asks_for_a_part_once():
+    """What a block of texts costs in lookups follows from its distinct parts, not from its length."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            self.asked += 1
+            return super().get(key)
+
+        def __contains__(self, key):
+            self.asked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    ranks = open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read()
+    coder, plain = bpe.Coder(ranks, public_tokenizers.PATTERN), bpe.Coder(ranks, public_tokenizers.PATTERN)
+    coder.parts = Counted()
+    texts = ["un été  à deux ", "", " ", "one", " one two\n three", "\ud800 x", " ".join(["one two three's été 中文 12345"] * 500)]
+    got = coder.encode(texts)
+    assert coder.parts.asked < 100
+    sent = [text.encode("utf-8", "replace") for text in texts]
+    assert coder.decode(got) == sent
+    for text, ids in zip(texts, got, strict=True):
+        words = plain.pattern.findall(text)
+        plain.learn({w for w in words if w not in plain.known})
+        assert ids == b"".join(plain.known[w] for w in words)
+
+
 # ---- top-k ----
 
 
