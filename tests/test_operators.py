@@ -456,3 +456,16 @@ def test_block_with_numbered_terms():
     loss, slope = block.loss_and_slope(weights)
     assert loss == pytest.approx((copies * np.log1p(np.exp(m)) - hits * m).sum(axis=0))
     assert slope == pytest.approx(x.T @ (copies / (1 + np.exp(-m)) - hits))
+
+
+def test_stream_reads_a_table_of_one_file_or_many(spark, tmp_path):
+    """A table stored as a folder of files gives the stream the same rows as one stored as a single file."""
+    from check_oracles import DATA
+
+    from paperweave.catalog import learning
+    from paperweave.catalog.tables import Tables
+
+    one = Tables(spark, f"{DATA}/sf0.001")
+    one.events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    counts = [learning._run(t, learning._stream(t, "events").select("event_id"), "streamed").count() for t in (one, Tables(spark, str(tmp_path)))]
+    assert counts[0] == counts[1] == one.events.count() > 0
