@@ -469,3 +469,24 @@ def test_stream_reads_a_table_of_one_file_or_many(spark, tmp_path):
     one.events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     counts = [learning._run(t, learning._stream(t, "events").select("event_id"), "streamed").count() for t in (one, Tables(spark, str(tmp_path)))]
     assert counts[0] == counts[1] == one.events.count() > 0
+
+
+def test_experiment_query_runs_both_text_forms(spark, monkeypatch):
+    from paperweave.catalog import learning
+    from paperweave.catalog.tables import Tables
+
+    asked = []
+
+    def run(corpus, mapping, experiment, key, **options):
+        asked.append((experiment, options["embedder"]))
+        return experiment_result(spark.createDataFrame([(0.1 * len(asked),)], "f1 double"))
+
+    def experiment_result(scores):
+        return experiment.Result(None, None, scores, None, None)
+
+    monkeypatch.setattr(experiment, "run_experiment", run)
+    from check_oracles import DATA
+
+    rows = learning.run_experiment(Tables(spark, f"{DATA}/sf0.001")).collect()
+    assert asked == [("title", "tfidf"), ("title_abstract", "tfidf")]
+    assert [(r["experiment"], r["f1"]) for r in rows] == [("title", 0.1), ("title_abstract", 0.2)]
