@@ -490,3 +490,31 @@ def test_experiment_query_runs_both_text_forms(spark, monkeypatch):
     rows = learning.run_experiment(Tables(spark, f"{DATA}/sf0.001")).collect()
     assert asked == [("title", "tfidf"), ("title_abstract", "tfidf")]
     assert [(r["experiment"], r["f1"]) for r in rows] == [("title", 0.1), ("title_abstract", 0.2)]
+
+
+def test_tfidf_in_small_parts_sends_no_term_per_row(spark, monkeypatch):
+    """Weights as by hand over many parts and shards, for null, empty and repeated rows; no exchange holds a row's terms."""
+    import math
+
+    from paperweave.operators import parts
+
+    monkeypatch.setattr(parts, "PART_TERMS", 7)
+    monkeypatch.setattr(parts, "SHARD_NAMES", 5)
+    draw = random.Random(5)
+    texts = {k: [draw.choice("abcdefgh") + "x" for _ in range(draw.randrange(6))] for k in range(40)}
+    rows = [*((k, t, k % 4 > 0) for k, t in texts.items()), (50, None, True), (51, ["only", "ax"], None)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, fit boolean").repartition(3)
+    fitted = [set(t or []) for _, t, fit in rows if fit]
+    idf = {x: math.log((1 + len(fitted)) / (1 + n)) + 1 for x in {x for t in fitted for x in t} if (n := sum(x in t for t in fitted))}
+    expected = {}
+    for k, t, _ in rows:
+        own = {x: t.count(x) * idf[x] for x in t or [] if x in idf}
+        expected.update({(k, x): w / math.sqrt(sum(v * v for v in own.values())) for x, w in own.items()})
+    weights = features.tfidf(df, "id", fit=F.col("fit"))
+    assert {(r.id, r.term): r.weight for r in weights.collect()} == pytest.approx(expected)
+    assert "Exchange" not in weights._jdf.queryExecution().executedPlan().toString()
+    # rows that share a key, also a null one, have the length one together
+    twice = df.filter("id < 20").withColumn("id", F.when(F.col("id") > 1, F.col("id") % 5))
+    lengths = features.tfidf(twice, "id").groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()
+    assert {r.id for r in lengths} == {None, 0, 1, 2, 3, 4} and all(abs(r.s - 1) < 1e-9 for r in lengths)
+    assert features.tfidf(df.limit(0), "id").count() == 0
