@@ -518,3 +518,53 @@ def test_tfidf_in_small_parts_sends_no_term_per_row(spark, monkeypatch):
     lengths = features.tfidf(twice, "id").groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()
     assert {r.id for r in lengths} == {None, 0, 1, 2, 3, 4} and all(abs(r.s - 1) < 1e-9 for r in lengths)
     assert features.tfidf(df.limit(0), "id").count() == 0
+
+
+def _noise_block():
+    """A block of 200 rows with random terms, very frequent to single ones, and labels that do not follow from them."""
+    rng = np.random.default_rng(4)
+    place = [np.unique(np.minimum(rng.zipf(1.3, 30), 400) - 1) for _ in range(200)]
+    used, flat = np.unique(np.concatenate(place), return_inverse=True)
+    arrays = {
+        "a": np.array([len(p) for p in place], np.int32), "b": flat.astype(np.int32), "c": rng.integers(1, 4, len(flat)).astype(np.int32),
+        "d": np.stack([np.arange(200), rng.integers(0, 2, 200)], axis=1).astype(np.int32), "e": np.full(200, 0.1),
+    }
+    terms = {"a": used.astype(np.int64), "b": np.linspace(1, 3, len(used)), "c": np.bincount(flat).astype(np.int32)}
+    records = [{"kind": linear.ROWS, "first": 0, "block": 7, **{k: v.tobytes() for k, v in arrays.items()}}]
+    records.append({"kind": linear.NAMES, "first": 0, "block": 7, **{k: v.tobytes() for k, v in terms.items()}})
+    x = np.zeros((200, len(used)))
+    np.add.at(x, (np.repeat(np.arange(200), arrays["a"]), flat), arrays["c"] * terms["b"][flat] * 0.1)
+    return records, x, arrays["d"][:, 1]
+
+
+def test_block_sums_and_a_fit_of_noise_in_few_steps(monkeypatch):
+    """Sums by row and term as from the matrix; where labels are noise a fit is at the loss's optimum within few evaluations."""
+    records, x, labels = _noise_block()
+    monkeypatch.setattr(linear, "ENTRIES_AT_ONCE", 50)
+    monkeypatch.setattr(linear, "BY_TERM_AT_ONCE", 70)
+    block = linear._Block([dict(r) for r in records])
+    rng = np.random.default_rng(1)
+    weights, factors = rng.normal(size=(x.shape[1], 3)), rng.normal(size=(200, 3))
+    assert block.by_row(weights) == pytest.approx(x @ weights) and block.by_term(factors) == pytest.approx(x.T @ factors)
+    assert block.by_term(factors, square=True) == pytest.approx((x * x).T @ factors)
+    called = []
+    by_row = block.by_row
+    block.by_row = lambda w: called.append(1) or by_row(w)
+    w, b, loss = linear._fit_label(block, 1, 1e-4, 1000, 1e-6)
+    hits = (labels == 1).astype(float)
+    m = x @ w + b
+    miss = (1 / (1 + np.exp(-m)) - hits) / 200
+    assert loss == pytest.approx((np.logaddexp(0, m) - hits * m).mean() + 0.5e-4 * w @ w)
+    assert max(np.abs(x.T @ miss + 1e-4 * w).max(), abs(miss.sum())) < 1e-4
+    assert len(called) < 100
+
+
+def test_no_exchange_holds_the_terms_of_a_scored_row(spark):
+    """Scoring joins the names of a part with the model, so what is exchanged is one row of sums per text."""
+    rows = _linear_rows(spark)
+    model = linear.train_text(rows, "id", bigrams=False, alpha=1e-3)
+    plan = linear.margins(model, rows.dropDuplicates(["id"]), "text", ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "MergeJoin" not in plan and "HashJoin" not in plan and plan.count("Exchange hashpartitioning") <= 1
+    # a repeated row counts as one, as its sums meet
+    twice = linear.margins(model, rows.filter("id = 3").select("id", "text"), "text", ["id"]).collect()
+    assert [r.id for r in twice] == [3]
