@@ -76,12 +76,13 @@ def complete_metadata(
     ``mappings`` gives reviewed ``(src, dst)`` tables per subject column; without them the proposed ones
     are applied as they are.
     """
+    # the papers are asked for their keys, their rows and their numbers; prior rows meet them once
+    papers = landed(papers, "loaded")
     stats = [completeness_stats(papers, "loaded")]
     todo = None
     columns = [c for c in papers.columns if c != "paper_id"]
     if prior is not None:
         papers, todo = update_from(papers, prior, columns)
-        papers, todo = landed(papers, "updated"), landed(todo, "unmatched")
     asked = needs_enrichment(papers, todo).select("paper_id")
     work = papers.join(asked, "paper_id", "left_semi")
     rest = papers.join(asked, "paper_id", "left_anti")

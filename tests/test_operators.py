@@ -568,3 +568,27 @@ def test_no_exchange_holds_the_terms_of_a_scored_row(spark):
     # a repeated row counts as one, as its sums meet
     twice = linear.margins(model, rows.filter("id = 3").select("id", "text"), "text", ["id"]).collect()
     assert [r.id for r in twice] == [3]
+
+
+def test_prior_rows_meet_the_papers_once(spark):
+    """Updated papers and the ids without a row read one written table, so no join is done for each of them again."""
+    papers = spark.createDataFrame([(1, "10.1/1", "a"), (2, "", "b"), (3, None, "c")], "paper_id long, doi string, title string")
+    prior = spark.createDataFrame([(7, "10.1/1", "x"), (8, "10.1/8", "b")], "ord long, doi string, title string")
+    updated, todo = joins.update_from(papers, prior, ["doi", "title"])
+    assert sorted(map(tuple, updated.collect())) == [(1, "10.1/1", "x"), (2, "10.1/8", "b"), (3, None, "c")]
+    assert [r.paper_id for r in todo.collect()] == [3]
+    for df in (updated, todo):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hashed_fit_makes_the_terms_once(spark):
+    """The width, the frequencies and the number of rows come from terms that are made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def terms(text):
+        made.add(1)
+        return text.split()
+
+    rows = spark.createDataFrame([("a b",), ("b c",), ("c",)], "text string").select(F.udf(terms, "array<string>")("text").alias("t"))
+    model = features.HashedTfidf("t", "features").fit(rows)
+    assert model.n == 3 and model.width == 32 and made.value == 3
